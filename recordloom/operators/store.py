@@ -101,7 +101,7 @@ class Store:
             raise ValueError(f"{path}: an entry has no key, no headword or another's key")
         attributes = records.select("relative_path", "record_ordinal", F.posexplode("attributes").alias("attribute_ordinal", "a")).select("relative_path", "record_ordinal", "attribute_ordinal", "a.name", "a.value")
         attributes.write.mode("overwrite").parquet(self._folder("source_attribute", path))
-        none = inner.limit(0).select("relative_path", "entry_at", F.lit("").alias("dictionary"), F.lit(0).cast("bigint").alias("entity_at"), F.lit("").alias("entity_kind"), F.lit("").alias("native_key"), F.lit(0).alias("pos"), F.lit(0).alias("pattern"), F.lit(0).alias("sense")).drop("dictionary")
+        none = inner.limit(0).select("relative_path", "entry_at", F.lit("").alias("dictionary"), F.lit(0).cast("bigint").alias("entity_at"), F.lit("").alias("entity_kind"), F.lit("").alias("native_key"), F.lit(0).alias("pos"), F.lit(0).alias("pattern"), F.lit(0).alias("sense"))
         identified(found, none, self.commit).write.mode("overwrite").parquet(self._folder("entity", path))
         found.select("relative_path", "entry_ordinal", "headword", "homonym").write.mode("overwrite").parquet(self._folder("entry_projection", path))
         if rebuilt(records, self.spark.read.parquet(self._folder("source_attribute", path))).join(canonical_digest(scan(file)), ["relative_path", "record_sha256"]).isEmpty():
