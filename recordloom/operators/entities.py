@@ -33,6 +33,10 @@ def _by(table: dict, *cols: Column) -> Column:
     return out
 
 
+def _one_of(names: list[str]):
+    return lambda a: a["name"].isin(*names)
+
+
 def with_entries(records: DataFrame) -> DataFrame:
     """records in an entry, with dictionary, local, entry_at (record ordinal of its start) and path (names from the entry on, the record's own excluded).
 
@@ -108,7 +112,7 @@ def relations(inner: DataFrame) -> DataFrame:
     source = F.lit(None).cast("bigint")
     for kind in ("part_of_speech", "common_pattern", "sense"):
         names = [n for (_, n), k in KINDS.items() if k == kind]
-        open_ = F.filter("inside", lambda a, names=names: a["name"].isin(*names))
+        open_ = F.filter("inside", _one_of(names))
         source = F.coalesce(F.try_element_at(open_, F.lit(-1))["ordinal"], source)
     tops = tops.select("relative_path", "dictionary", "entry_at", F.col("record_ordinal").alias("relation_at"), F.coalesce(source, F.col("entry_at")).alias("source_at"))
     tops = tops.withColumn("relation_ordinal", F.row_number().over(W.partitionBy("relative_path", "entry_at").orderBy("relation_at")).cast("bigint"))
