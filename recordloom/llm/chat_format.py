@@ -4,59 +4,81 @@ Loggers often store a conversation again after each turn. A prefix hash for ever
 position-keyed turn hashes, 2 x 64 bits) tells which whole conversations are a proper prefix of a longer one; an
 anti-join drops those, and of equal conversations the smallest conv_id stays. What is left is rendered.
 
-Defined results: turns are ordered by (turn, role, text), nulls first; a null role or text is unlike an empty one
-for the hash and is rendered as empty. Rows with a null conv_id belong to no conversation and are left out. Rows
-repeated in full are turns of their own. An empty table gives an empty result. Other columns aren't read.
-A window over one conversation streams and spills; the rendered string is a conversation's only value that must
-fit in memory.
+A conversation is worked on in blocks of 1,024 turn numbers: windows run within a block, and what earlier blocks
+add (turns, hash sums) comes from a table of one row a block. So a conversation that holds a third of all turns is
+many tasks, and its rendering is one string a block.
+
+Defined results: turns are ordered by (turn, role, text's hash), nulls first; a null role or text is unlike an empty
+one for the hash and is rendered as empty. Turns without a number are one block. Rows with a null conv_id belong to no
+conversation and are left out. Rows repeated in full are turns of their own. An empty table gives an empty result.
+Other columns aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
+#: Turn numbers that agree but for these low bits share a block.
+BLOCK_BITS = 10
+NO_TURN = -(1 << 62)
 
-def _turn_hashes(turns: DataFrame) -> DataFrame:
+
+def _turns(turns: DataFrame) -> DataFrame:
+    """conv_id, block, turn, role, text, h (a hash of role and text)."""
     coded = F.concat(*[F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c))) for c in ("role", "text")])
-    return turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", F.sha2(coded, 256).alias("h"))
+    block = F.coalesce(F.shiftright(F.col("turn").cast("bigint"), BLOCK_BITS), F.lit(NO_TURN))
+    return turns.where(F.col("conv_id").isNotNull()).select("conv_id", block.alias("block"), "turn", "role", "text", F.sha2(coded, 256).alias("h"))
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, pos (from 1), n, a, b: (pos, a, b) is the hash of the conversation's first pos turns."""
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "h")
-    at = _turn_hashes(turns).select("conv_id", "turn", "role", "h", F.row_number().over(order).alias("pos"), F.count(F.lit(1)).over(W.partitionBy("conv_id")).alias("n"))
-    run = order.rowsBetween(W.unboundedPreceding, 0)
-    big = lambda seed: F.xxhash64(F.lit(seed), "pos", "h").cast("decimal(20,0)")
-    return at.select("conv_id", "pos", "n", F.sum(big(1)).over(run).alias("a"), F.sum(big(2)).over(run).alias("b"))
+def _earlier(column: str) -> Column:
+    """The sum over the conversation's earlier blocks."""
+    return F.coalesce(F.sum(column).over(W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies of the conversations that are no proper prefix of another, one of equal ones."""
-    hashes = materialize(prefix_hashes(turns), "prefixes")
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """conv_id, block, pos (from 1), n, a, b: (pos, a, b) is the hash of the conversation's first pos turns."""
+    key = ["conv_id", "block"]
+    at = _turns(turns).select(*key, "h", F.row_number().over(W.partitionBy(*key).orderBy("turn", "role", "h")).alias("at"))
+    sizes = at.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select(*key, _earlier("size").alias("start"), F.sum("size").over(W.partitionBy("conv_id")).alias("n"))
+    pos = at.join(starts, key).select(*key, "h", (F.col("start") + F.col("at")).alias("pos"), "n")
+    keyed = lambda seed: F.xxhash64(F.lit(seed), "pos", "h").cast("decimal(20,0)")
+    placed = materialize(pos.select(*key, "pos", "n", keyed(1).alias("x"), keyed(2).alias("y")), "turns")
+    sums = placed.groupBy(*key).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    before = sums.select(*key, _earlier("x").alias("x0"), _earlier("y").alias("y0"))
+    run = W.partitionBy(*key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    total = lambda x, x0: (F.sum(x).over(run) + F.col(x0)).cast("decimal(38,0)")
+    return placed.join(before, key).select(*key, "pos", "n", total("x", "x0").alias("a"), total("y", "y0").alias("b"))
+
+
+def _maximal(hashes: DataFrame) -> DataFrame:
     key = ["pos", "a", "b"]
     whole = hashes.where("pos = n").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
     inner = hashes.where("pos < n").select(*key).distinct()
     return whole.join(inner, key, "left_anti").select("conv_id", F.col("pos").cast("bigint").alias("n_turns"), "n_copies")
 
 
-def collapse_and_render(turns: DataFrame, open_mark: str = "<|", close_mark: str = "|>") -> DataFrame:
-    """conv_id, n_turns, n_copies, rendered: each kept conversation as one string, a line with its role before each turn."""
-    kept = materialize(maximal_conversations(turns), "conversations")
-    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    part = F.concat(F.lit(open_mark), empty("role"), F.lit(close_mark + "\n"), empty("text"), F.lit("\n"))
-    rows = turns.select("conv_id", "turn", "role", "text").join(kept.select("conv_id"), "conv_id", "left_semi")
-    each = rows.select("conv_id", F.struct("turn", "role", _turn_hashes_inline().alias("h"), part.alias("part")).alias("t"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["part"]), "")
-    return each.groupBy("conv_id").agg(text.alias("rendered")).join(kept, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
+def maximal_conversations(turns: DataFrame) -> DataFrame:
+    """conv_id, n_turns, n_copies of the conversations that are no proper prefix of another, one of equal ones."""
+    return _maximal(materialize(prefix_hashes(turns), "prefixes"))
 
 
-def _turn_hashes_inline():
-    coded = F.concat(*[F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c))) for c in ("role", "text")])
-    return F.sha2(coded, 256)
+def collapse_and_render(turns: DataFrame, open_mark: str = "<|", close_mark: str = "|>") -> DataFrame:
+    """conv_id, part, n_turns, n_copies, rendered: each kept conversation, a string for each of its blocks (part, from 0),
+    a line with its role before each turn. The parts joined in order are the whole conversation."""
+    hashes = materialize(prefix_hashes(turns), "prefixes")
+    blocks = hashes.select("conv_id", "block").distinct().withColumn("part", F.row_number().over(W.partitionBy("conv_id").orderBy("block")).cast("bigint") - 1)
+    kept = materialize(blocks.join(_maximal(hashes), "conv_id"), "conversations")
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    line = F.concat(F.lit(open_mark), empty("role"), F.lit(close_mark + "\n"), empty("text"), F.lit("\n"))
+    rows = _turns(turns).select("conv_id", "block", F.struct("turn", "role", "h", line.alias("line")).alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "")
+    each = rows.join(kept, ["conv_id", "block"]).groupBy("conv_id", "block", "part", "n_turns", "n_copies")
+    return each.agg(text.alias("rendered")).select("conv_id", "part", "n_turns", "n_copies", "rendered")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +90,10 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 c AS (SELECT conv_id, count(*) AS n_turns, list('<|' || role || '|>' || chr(10) || text || chr(10) ORDER BY turn, role, text) AS parts
       FROM t GROUP BY conv_id),
 u AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, parts FROM c GROUP BY n_turns, parts),
-p AS (SELECT DISTINCT list_slice(parts, 1, k) AS parts FROM (SELECT parts, unnest(range(1, len(parts))) AS k FROM u))
-SELECT u.conv_id, u.n_turns, u.n_copies, array_to_string(u.parts, '') AS rendered
-FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.parts = u.parts)
+p AS (SELECT DISTINCT list_slice(parts, 1, k) AS parts FROM (SELECT parts, unnest(range(1, len(parts))) AS k FROM u)),
+m AS (SELECT conv_id, n_turns, n_copies FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.parts = u.parts)),
+b AS (SELECT conv_id, floor(turn / 1024) AS block, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS rendered
+      FROM t GROUP BY 1, 2)
+SELECT m.conv_id, row_number() OVER (PARTITION BY b.conv_id ORDER BY block NULLS FIRST) - 1 AS part, n_turns, n_copies, rendered
+FROM m JOIN b ON m.conv_id = b.conv_id
 """

@@ -105,10 +105,37 @@ def test_chat_collapse(spark):
     convs = {1: a[:2], 2: a, 3: a[:3], 4: a, 5: [("user", "hi"), ("assistant", "other")], 6: [(None, "hi")], 7: [("", "hi")], 8: [("user", "x" * 100_000)]}
     rows = [(c, t, *x, "clash") for c, xs in convs.items() for t, x in enumerate(xs)] + [(None, 0, "user", "lost", "clash"), (9, None, "user", "t", "clash"), (9, None, "user", "t", "clash")]
     got = {r.conv_id: r for r in chat_format.collapse_and_render(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, n_turns string")).collect()}
+    assert all(r.part == 0 for r in got.values())
     assert {(k, r.n_turns, r.n_copies) for k, r in got.items()} == {(2, 4, 2), (5, 2, 1), (6, 1, 1), (7, 1, 1), (8, 1, 1), (9, 2, 1)}
     assert got[2].rendered == "<|user|>\nhi\n<|assistant|>\nhello\n<|user|>\nmore\n<|assistant|>\n\n"
 
 
+def test_chat_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "BLOCK_BITS", 2)
+    r = random.Random(5)
+    long = [("user", prose(k, 3)) for k in range(40)]
+    convs = {k: long[: r.choice([40, 40, 17, 5, 4, 1])] for k in range(30)}
+    convs |= {100: long[:20] + long[21:], 101: long[1:], 102: long[:8] + long[7:]}
+    numbers = {k: sorted([None] * (k % 3) + r.sample(range(-9, 99), len(x)), key=lambda n: (n is not None, n))[: len(x)] for k, x in convs.items()}
+    texts = {k: [(n, *x) for n, x in zip(numbers[k], xs, strict=True)] for k, xs in convs.items()}
+    for k, xs in texts.items():  # turns without a number come in the order of their hash
+        none = sorted((x for x in xs if x[0] is None), key=lambda x: (x[1], hashlib.sha256(f"4:user{len(x[2])}:{x[2]}".encode()).hexdigest()))
+        texts[k] = none + xs[len(none) :]
+    lists = {k: tuple(x[1:] for x in xs) for k, xs in texts.items()}
+    prefixes = {x[:k] for x in lists.values() for k in range(1, len(x))}
+    want = {}
+    for x in set(lists.values()) - prefixes:
+        same = [k for k in lists if lists[k] == x]
+        want[min(same)] = (len(x), len(same), "".join(f"<|{a}|>\n{b}\n" for a, b in x))
+    rows = [(k, *x) for k, xs in texts.items() for x in xs]
+    r.shuffle(rows)
+    got = {}
+    for x in sorted(chat_format.collapse_and_render(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect(), key=lambda x: (x.conv_id, x.part)):
+        got.setdefault(x.conv_id, []).append(x)
+    assert {k: (xs[0].n_turns, xs[0].n_copies, "".join(x.rendered for x in xs)) for k, xs in got.items()} == want
+    assert all([x.part for x in xs] == list(range(len(xs))) for xs in got.values()) and max(map(len, got.values())) > 5
+
+
 # -- packing
 
 
