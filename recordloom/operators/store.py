@@ -50,6 +50,36 @@ def reference_checks(entities: DataFrame, prefix: Column) -> DataFrame:
     return counts.select(each.alias("x")).select("x.check_name", "x.violations")
 
 
+def owner_checks(entity: DataFrame, entry_projection: DataFrame, text_projection: DataFrame, relation: DataFrame, relation_candidate: DataFrame) -> DataFrame:
+    """check_name, violations: projections, relations and candidates whose owners don't fit. entity: canonical_id,
+    corpus_id, entity_kind, parent_entry_id. The keys are ids, so no join key is hot but a relation's many candidates."""
+
+    def side(name: str) -> DataFrame:
+        owner = F.when(F.col("entity_kind") == "entry", F.col("canonical_id")).otherwise(F.col("parent_entry_id"))
+        return entity.select(F.col("canonical_id").alias(f"{name}_id"), F.struct("corpus_id", "entity_kind", owner.alias("owner")).alias(name))
+
+    def count(rows: DataFrame, wrong: Column, name: str) -> DataFrame:
+        return rows.agg(F.count_if(wrong).cast("bigint").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+
+    c = F.col
+    entries_ = entry_projection.select("entry_id").join(side("entry"), "entry_id")
+    texts = text_projection.select("entry_id", c("entity_id").alias("owner_id")).join(side("entry"), "entry_id").join(side("owner"), "owner_id")
+    wrong_text = (c("entry.entity_kind") != "entry") | (c("owner.corpus_id") != c("entry.corpus_id")) | (c("entry_id") != c("owner.owner"))
+    names = {"source_entity_id": "source_id", "source_entry_id": "source_entry_id", "resolved_target_id": "target_id", "resolved_target_entry_id": "target_entry_id"}
+    links = relation.select("relation_id", *[c(a).alias(b) for a, b in names.items()]).join(side("source"), "source_id").join(side("source_entry"), "source_entry_id")
+    links = links.join(side("target"), "target_id", "left").join(side("target_entry"), "target_entry_id", "left")
+    wrong_target = (c("target_entry.entity_kind") != "entry") | (c("target.corpus_id") != c("source.corpus_id")) | (c("target_entry.corpus_id") != c("source.corpus_id")) | (c("target_entry_id") != c("target.owner"))
+    wrong_link = (c("source_entry.entity_kind") != "entry") | (c("source_entry.corpus_id") != c("source.corpus_id")) | (c("source_entry_id") != c("source.owner")) | (c("target_id").isNotNull() & wrong_target)
+    pairs = relation_candidate.select("relation_id", c("candidate_target_id").alias("target_id")).join(relation.select("relation_id", c("source_entity_id").alias("source_id")), "relation_id")
+    pairs = pairs.join(side("source"), "source_id").join(side("target"), "target_id")
+    return union_all([
+        count(entries_, c("entry.entity_kind") != "entry", "entry_projection_owner"),
+        count(texts, wrong_text, "text_projection_owner"),
+        count(links, wrong_link, "relation_owner"),
+        count(pairs, c("target.corpus_id") != c("source.corpus_id"), "candidate_corpus"),
+    ])
+
+
 def catalog_difference(stored: DataFrame, expected: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """key, verdict (missing, unexpected, changed) by a full outer join."""
     s = stored.select(F.col(key), F.struct(*cols).alias("s"))

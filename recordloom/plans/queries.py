@@ -455,6 +455,45 @@ def reference_checks(spark, d):
     return store.reference_checks(entry.unionByName(sense), top)
 
 
+_OWNERS = """
+ent AS (SELECT 'e' || o_orderkey AS canonical_id, CASE WHEN o_orderkey % 83 = 0 THEN 'k2' ELSE 'k1' END AS corpus_id, 'entry' AS entity_kind, NULL::VARCHAR AS parent_entry_id FROM orders
+ UNION ALL SELECT 's' || l_orderkey || '.' || l_linenumber, CASE WHEN l_partkey % 61 = 0 THEN 'k2' ELSE 'k1' END, 'sense', 'e' || l_orderkey FROM lineitem),
+own AS (SELECT *, CASE WHEN entity_kind = 'entry' THEN canonical_id ELSE parent_entry_id END AS owner FROM ent),
+ep AS (SELECT CASE WHEN o_orderkey % 71 = 0 THEN 's' || o_orderkey || '.1' ELSE 'e' || o_orderkey END AS entry_id FROM orders),
+tp AS (SELECT 'e' || (l_orderkey + CASE WHEN l_suppkey % 17 = 0 THEN 1 ELSE 0 END) AS entry_id, 's' || l_orderkey || '.' || l_linenumber AS entity_id FROM lineitem),
+rel AS (SELECT l_orderkey * 10 + l_linenumber AS relation_id, 's' || l_orderkey || '.' || l_linenumber AS source_entity_id, CASE WHEN l_linenumber = 7 THEN 's' || l_orderkey || '.1' ELSE 'e' || l_orderkey END AS source_entry_id,
+ CASE WHEN l_returnflag <> 'N' THEN 's' || l_orderkey || '.1' END AS resolved_target_id, CASE WHEN l_returnflag <> 'N' THEN 'e' || (l_orderkey + CASE WHEN l_returnflag = 'A' AND l_linenumber = 3 THEN 1 ELSE 0 END) END AS resolved_target_entry_id FROM lineitem),
+cand AS (SELECT l_orderkey * 10 + l_linenumber AS relation_id, 'e' || (l_orderkey + 1) AS candidate_target_id FROM lineitem)
+"""
+
+
+@query(f"""WITH {_OWNERS}
+SELECT 'entry_projection_owner' AS check_name, count(*) FILTER (e.entity_kind <> 'entry') AS violations FROM ep JOIN own e ON e.canonical_id = ep.entry_id
+UNION ALL SELECT 'text_projection_owner', count(*) FILTER (e.entity_kind <> 'entry' OR o.corpus_id <> e.corpus_id OR tp.entry_id <> o.owner) FROM tp JOIN own e ON e.canonical_id = tp.entry_id JOIN own o ON o.canonical_id = tp.entity_id
+UNION ALL SELECT 'relation_owner', count(*) FILTER (b.entity_kind <> 'entry' OR b.corpus_id <> a.corpus_id OR rel.source_entry_id <> a.owner
+ OR (resolved_target_id IS NOT NULL AND (d.entity_kind <> 'entry' OR c.corpus_id <> a.corpus_id OR d.corpus_id <> a.corpus_id OR resolved_target_entry_id <> c.owner)))
+ FROM rel JOIN own a ON a.canonical_id = source_entity_id JOIN own b ON b.canonical_id = source_entry_id LEFT JOIN own c ON c.canonical_id = resolved_target_id LEFT JOIN own d ON d.canonical_id = resolved_target_entry_id
+UNION ALL SELECT 'candidate_corpus', count(*) FILTER (t.corpus_id <> a.corpus_id) FROM cand JOIN rel USING (relation_id) JOIN own a ON a.canonical_id = source_entity_id JOIN own t ON t.canonical_id = candidate_target_id""")
+def owner_checks(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    ok, lk, ln = F.col("o_orderkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    entry = lambda k: F.concat(F.lit("e"), s(k))
+    sense = lambda k, n: F.concat(F.lit("s"), s(k), F.lit("."), s(n))
+    corpus = lambda odd: F.when(odd, "k2").otherwise("k1").alias("corpus_id")
+    plus = lambda odd: lk + F.when(odd, 1).otherwise(0)
+    flag = F.col("l_returnflag")
+    entity = o.select(entry(ok).alias("canonical_id"), corpus(ok % 83 == 0), F.lit("entry").alias("entity_kind"), F.lit(None).cast("string").alias("parent_entry_id"))
+    entity = entity.unionByName(li.select(sense(lk, ln).alias("canonical_id"), corpus(F.col("l_partkey") % 61 == 0), F.lit("sense").alias("entity_kind"), entry(lk).alias("parent_entry_id")))
+    heads = o.select(F.when(ok % 71 == 0, sense(ok, F.lit(1))).otherwise(entry(ok)).alias("entry_id"))
+    texts = li.select(entry(plus(F.col("l_suppkey") % 17 == 0)).alias("entry_id"), sense(lk, ln).alias("entity_id"))
+    relation = li.select(
+        (lk * 10 + ln).alias("relation_id"), sense(lk, ln).alias("source_entity_id"), F.when(ln == 7, sense(lk, F.lit(1))).otherwise(entry(lk)).alias("source_entry_id"),
+        F.when(flag != "N", sense(lk, F.lit(1))).alias("resolved_target_id"), F.when(flag != "N", entry(plus((flag == "A") & (ln == 3)))).alias("resolved_target_entry_id"),
+    )
+    cands = li.select((lk * 10 + ln).alias("relation_id"), entry(lk + 1).alias("candidate_target_id"))
+    return store.owner_checks(entity, heads, texts, relation, cands)
+
+
 @query("SELECT r_name, n_name, c_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey ORDER BY r_regionkey, n_nationkey, c_custkey LIMIT 1")
 def representative_entry(spark, d):
     first = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
+import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+class CatalogError(ValueError):
+    pass
+
+
 def layout_ok(path: Column | str, dictionaries: list[str]) -> Column:
     """Exactly two components, the first one of the dictionaries, the extension xml."""
     col = F.col(path) if isinstance(path, str) else path
@@ -37,3 +42,51 @@ def volumes(files: DataFrame, prefix: Column | None = None) -> DataFrame:
     out = files.withColumn("volume_number", F.row_number().over(each.orderBy("relative_path")).cast("bigint")).withColumn("volume_total", F.count(F.lit(1)).over(each))
     name = F.concat(F.col("dictionary") if prefix is None else prefix, F.lit("-"), F.lpad(F.col("volume_number").cast("string"), 3, "0"), F.lit("-of-"), F.lpad(F.col("volume_total").cast("string"), 3, "0"), F.lit(".epub"))
     return out.withColumn("output_filename", name)
+
+
+def _git(root: str, *words: str) -> subprocess.CompletedProcess:
+    return subprocess.run(["git", "-c", f"safe.directory={os.path.realpath(root)}", "-C", root, *words], capture_output=True, check=False)
+
+
+def git_tracked(spark: SparkSession, root: str, dictionaries: list[str]) -> DataFrame:
+    """relative_path of the XML files under root that git tracks, as a manifest for tracked(). A dictionary without any is an error."""
+    found = []
+    for name in dictionaries:
+        listed = _git(root, "ls-files", "-z", "--", f"{name}/*.xml")
+        if listed.returncode:
+            raise CatalogError(f"{root}: {listed.stderr.decode(errors='replace').strip()}")
+        paths = [p for p in listed.stdout.decode().split("\0") if p]
+        if not paths:
+            raise CatalogError(f"{root}: no tracked XML file of {name}")
+        found += [(p,) for p in paths]
+    return spark.createDataFrame(found, "relative_path string")
+
+
+def git_revision(root: str) -> str:
+    got = _git(root, "rev-parse", "HEAD")
+    if got.returncode:
+        raise CatalogError(f"{root} has no revision")
+    return got.stdout.decode().strip()
+
+
+def require_clean(root: str, dictionaries: list[str]) -> None:
+    """Neither the working tree nor the index may differ from the revision in the dictionaries' XML files."""
+    globs = [f"{name}/*.xml" for name in dictionaries]
+    for staged in ([], ["--cached"]):
+        if _git(root, "diff", "--quiet", *staged, "--", *globs).returncode:
+            raise CatalogError(f"{root}: the XML files differ from the revision")
+
+
+def select(spark: SparkSession, root: str, dictionaries: list[str]) -> DataFrame:
+    """The catalogue of root: dictionary, relative_path, volume_number, volume_total, output_filename of its tracked regular files."""
+    manifest = git_tracked(spark, root, dictionaries).where(layout_ok("relative_path", dictionaries))
+    missing = manifest.join(discover(spark, root, dictionaries), "relative_path", "left_anti").first()
+    if missing:
+        raise CatalogError(f"{missing.relative_path} is tracked but is no regular file")
+    return volumes(manifest.select(F.substring_index("relative_path", "/", 1).alias("dictionary"), "relative_path"))
+
+
+def with_content(spark: SparkSession, root: str, files: DataFrame, paths: list[str]) -> DataFrame:
+    """files joined with the bytes of paths (below root)."""
+    read = spark.read.format("binaryFile").load([os.path.join(root, p) for p in paths])
+    return files.join(read.select(F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)).alias("relative_path"), "content"), "relative_path")
