@@ -3,7 +3,7 @@
 Statistics of the whole text (shares of character classes, words, repetition, lines) are binned at quantiles of
 the training sample; each tree grows level by level from gradient histograms. The forest is flattened into arrays
 (feature, threshold, left, right, value), which numpy walks for all rows of a batch at once. Training takes at most
-max_rows labelled rows, those of the least hash of their id, to the driver: max_rows * 27 numbers.
+max_rows labelled rows, those of the least hash of their id, to the driver: max_rows * 29 numbers.
 
 Defined results: a null or empty text has statistics of zero and gets a score like any other. Of labels repeated
 for one id, the mean counts (1 from 0.5). A null label or id teaches nothing. Without labels, every score is 0.5;
