@@ -6,7 +6,7 @@ the training sample; each tree grows level by level from gradient histograms. Th
 max_rows labelled rows, those of the least hash of their id, to the driver: max_rows * 29 numbers.
 
 Defined results: a null or empty text has statistics of zero and gets a score like any other. Of labels repeated
-for one id, the mean counts (1 from 0.5). A null label or id teaches nothing. Without labels, every score is 0.5;
+for one id, the mean counts (1 from 0.5); of rows repeated under one labelled id, that of the least statistics teaches. A null label or id teaches nothing. Without labels, every score is 0.5;
 with one class only, every score is that class's smoothed share. Rows with a null id are scored and are not held
 out. An empty table gives an empty result. Only the id and the text are read, never lang, source or the id's value.
 """
@@ -143,12 +143,15 @@ def _mapped(docs: DataFrame, names: list[str], function, schema: str) -> DataFra
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS, **options) -> Forest:
-    """Fit on the labelled rows that aren't held out. The sample's ids and labels (max_rows at most) are broadcast."""
+    """Fit on the labelled rows that aren't held out. The sample's ids and labels (max_rows at most) are broadcast, and
+    one row an id comes back."""
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out()).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
-    got = _mapped(rows, ["label", "x"], lambda x: [pa.array(list(x), pa.list_(pa.float64()))], "label double, x array<double>").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    found = _mapped(rows, ["doc_id", "label", "x"], lambda x: [pa.array(list(x), pa.list_(pa.float64()))], f"doc_id {id_type}, label double, x array<double>")
+    got = found.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("row")).select("row.label", "row.x").toArrow()
     y = got.column("label").to_numpy()
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))
     order = np.lexsort((*x.T, y))  # the same forest whatever the order of arrival
