@@ -3,8 +3,10 @@
 Audio is cut into frames; a frame's spectrum is folded onto 12 pitch classes. Sixteen filters (differences of
 rectangle sums over frames and pitch classes, taken from an integral image) are quantised to two bits each and
 packed into one 32-bit integer a frame. Search: a recording's integers, paired at a fixed distance, are sketched
-by the SEEDS of least hash; recordings that share a seed are compared: the histogram of the offsets between equal
-integers gives the alignment, and the share of differing bits there the error. Similarity is 1 - error, 0.8 or more.
+by winnowing: the least hash of any WINDOW pairs, so a sketch grows with its recording, and a clip of WINDOW + APART
+equal integers shares a seed with what it was cut from. Recordings that share a seed are compared: the histogram of the
+offsets between equal integers gives the alignment, the share of differing bits there the error. Similarity is 1 - error,
+0.8 or more.
 
 Defined results: a null or too short recording has no integers and matches nothing. A recording doesn't match its
 own id. Null ids are left out. Rows repeated under one id give repeated matches once. An empty table gives an
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-RATE, FRAME, HOP, SPAN, APART, SEEDS = 8000, 1024, 512, 16, 12, 8
+RATE, FRAME, HOP, SPAN, APART, WINDOW = 8000, 1024, 512, 16, 12, 8
 #: (kind, lowest pitch class, height, width): kind 0 splits by pitch, 1 by time, 2 by quadrant, 3 in thirds by pitch, 4 in thirds by time.
 FILTERS = [(k % 5, (5 * k) % (13 - h), h, w) for k, (h, w) in enumerate((h, w) for w in (4, 8, 12, 16) for h in (3, 6, 9, 12))]
 STEP = 0.25
@@ -116,11 +118,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def seeds(prints: np.ndarray) -> np.ndarray:
-    """The SEEDS least hashes of the pairs of integers APART frames apart."""
+    """The least hash of each WINDOW (or all, if fewer) of the pairs of integers APART frames apart."""
     if len(prints) <= APART:
         return np.zeros(0, dtype=np.int64)
     pairs = prints[:-APART].astype(np.uint64) << np.uint64(32) | prints[APART:].astype(np.uint64)
-    return np.unique(_mix(pairs))[:SEEDS].view(np.int64)
+    hashes = _mix(pairs)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, min(WINDOW, len(hashes))).min(axis=1)).view(np.int64)
 
 
 def fingerprint_audio(media: DataFrame, id_col: str, media_col: str, decode: Callable = decode_wav) -> DataFrame:

@@ -320,6 +320,15 @@ def test_audio_match_follows_brute_force(spark):
     assert got[100, 3].offset == -10 and got[300, 7].offset == 7
 
 
+def test_a_clip_shares_a_seed_with_a_long_recording():
+    r = np.random.default_rng(2)
+    long = audio.pack_frames(audio.chroma(*audio.vector_audio(list(r.normal(size=4000)))))
+    n = audio.WINDOW + audio.APART
+    for at in range(0, len(long) - n, 391):
+        assert set(audio.seeds(long[at : at + n])) & set(audio.seeds(long))
+    assert len(audio.seeds(long)) > len(long) / audio.WINDOW
+
+
 def test_vector_audio_defined_for_odd_vectors():
     assert len(audio.vector_audio(None)[0]) == len(audio.vector_audio([])[0]) == 0
     assert np.isfinite(audio.vector_audio([None, 0.0, float("nan")])[0]).all()
@@ -378,6 +387,14 @@ def test_quality(spark):
     assert left.columns == d.columns and left.count() == sum(r.predicted for r in got)
 
 
+def test_quality_takes_one_row_of_a_repeated_id(spark):
+    once = [(k, prose(k, 60)) for k in range(60)] + [(k, junk(k)) for k in range(60, 120)]
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(120)], "doc_id bigint, quality int")
+    forest = quality.train(docs(spark, once), labels, trees=5)
+    again = quality.train(docs(spark, once + once[:1] * 500), labels, trees=5)
+    assert all((getattr(forest, f) == getattr(again, f)).all() for f in ("feature", "threshold", "value"))
+
+
 def test_quality_without_labels(spark):
     d = docs(spark, [(1, "a")])
     none = spark.createDataFrame([], "doc_id bigint, quality int")
