@@ -2,11 +2,10 @@
 
 Audio is cut into frames; a frame's spectrum is folded onto 12 pitch classes. Sixteen filters (differences of
 rectangle sums over frames and pitch classes, taken from an integral image) are quantised to two bits each and
-packed into one 32-bit integer a frame. Search: a recording's integers, paired at a fixed distance, are sketched
-by winnowing: the least hash of any WINDOW pairs, so a sketch grows with its recording, and a clip of WINDOW + APART
-equal integers shares a seed with what it was cut from. Recordings that share a seed are compared: the histogram of the
-offsets between equal integers gives the alignment, the share of differing bits there the error. Similarity is 1 - error,
-0.8 or more.
+packed into one 32-bit integer a frame. Search: queries and recordings are dealt to a grid of query blocks and recording
+parts of bounded size. A block is sorted by integer once; a recording's equal integers in it give, for every query, the
+histogram of their offsets, whose top is the alignment, and the share of differing bits there is the error. Similarity is
+1 - error, 0.8 or more. So every query meets every recording, and no match with an equal integer is missed.
 
 Defined results: a null or too short recording has no integers and matches nothing. A recording doesn't match its
 own id. Null ids are left out. Rows repeated under one id give repeated matches once. An empty table gives an
@@ -26,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-RATE, FRAME, HOP, SPAN, APART, WINDOW = 8000, 1024, 512, 16, 12, 8
+RATE, FRAME, HOP, SPAN = 8000, 1024, 512, 16
+#: Integers (about) of a block of queries and of a part of the recordings; hits that are counted at a time.
+BLOCK_INTS, PART_INTS, AT_ONCE = 1 << 19, 1 << 20, 1 << 22
 #: (kind, lowest pitch class, height, width): kind 0 splits by pitch, 1 by time, 2 by quadrant, 3 in thirds by pitch, 4 in thirds by time.
 FILTERS = [(k % 5, (5 * k) % (13 - h), h, w) for k, (h, w) in enumerate((h, w) for w in (4, 8, 12, 16) for h in (3, 6, 9, 12))]
 STEP = 0.25
@@ -112,22 +113,8 @@ def pack_frames(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def seeds(prints: np.ndarray) -> np.ndarray:
-    """The least hash of each WINDOW (or all, if fewer) of the pairs of integers APART frames apart."""
-    if len(prints) <= APART:
-        return np.zeros(0, dtype=np.int64)
-    pairs = prints[:-APART].astype(np.uint64) << np.uint64(32) | prints[APART:].astype(np.uint64)
-    hashes = _mix(pairs)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, min(WINDOW, len(hashes))).min(axis=1)).view(np.int64)
-
-
 def fingerprint_audio(media: DataFrame, id_col: str, media_col: str, decode: Callable = decode_wav) -> DataFrame:
-    """id, prints (packed integers), seeds, one row per row of media with an id."""
+    """id, prints (packed integers), one row per row of media with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,10 +122,10 @@ def fingerprint_audio(media: DataFrame, id_col: str, media_col: str, decode: Cal
             for x in batch.column("media"):
                 value = x.as_py()
                 prints.append(pack_frames(chroma(*decode(value))) if value is not None else np.zeros(0, dtype=np.uint32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.view(np.int32) for p in prints], pa.list_(pa.int32())), pa.array([seeds(p) for p in prints], pa.list_(pa.int64()))], ["id", "prints", "seeds"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p.view(np.int32) for p in prints], pa.list_(pa.int32()))], ["id", "prints"])
 
     rows = media.select(F.col(id_col).cast("bigint").alias("id"), F.col(media_col).alias("media")).where("id IS NOT NULL")
-    return rows.mapInArrow(run, "id bigint, prints array<int>, seeds array<bigint>")
+    return rows.mapInArrow(run, "id bigint, prints array<int>")
 
 
 def align(a: np.ndarray, b: np.ndarray, least: int = SPAN) -> tuple[int, int, int, float] | None:
@@ -160,27 +147,79 @@ def align(a: np.ndarray, b: np.ndarray, least: int = SPAN) -> tuple[int, int, in
     return best, end - start, int(counts.max()), float(wrong) / (32 * (end - start))
 
 
-def match_recordings(prints: DataFrame, queries: DataFrame, max_error: float = 0.2) -> DataFrame:
-    """query_id, id, offset, overlap, hits, bit_error of each pair that shares a seed and aligns. A pair is made once,
-    at the least seed that it shares."""
-    rows = prints.select("id", "seeds", F.explode("seeds").alias("seed"))
-    asked = queries.select(F.col("id").alias("query_id"), F.col("prints").alias("query_prints"), F.col("seeds").alias("query_seeds"), F.explode("seeds").alias("seed"))
-    common = F.array_min(F.array_intersect("seeds", "query_seeds")) == F.col("seed")
-    pairs = rows.join(asked, "seed").where(common & (F.col("id") != F.col("query_id"))).select("id", "query_id", "query_prints")
-    both = pairs.join(prints.select("id", "prints"), "id")
-    names = ["query_id", "id", "offset", "overlap", "hits", "bit_error"]
+class QueryBlock:
+    """Queries' integers, flat and sorted, so that a recording is aligned with all of them at once."""
+
+    def __init__(self, prints: list[np.ndarray]):
+        self.sizes = np.array([len(p) for p in prints], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([*prints, np.zeros(0, dtype=np.int32)])
+        order = np.argsort(self.flat, kind="stable")
+        self.values, self.query = self.flat[order], np.repeat(np.arange(len(prints)), self.sizes)[order]
+        self.place = order - self.starts[self.query]
+
+    def _histogram(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots (a query's offsets one after the other) that have hits, and how many. At most AT_ONCE hits, or
+        one frame's, are held at a time."""
+        lo, hi = np.searchsorted(self.values, b, "left"), np.searchsorted(self.values, b, "right")
+        ends = np.cumsum(hi - lo)
+        slots, counts, k = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+        while k < len(b):
+            done = ends[k - 1] if k else 0
+            stop = max(k + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+            n = (hi - lo)[k:stop]
+            at = np.repeat(lo[k:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            query = self.query[at]
+            more = self.starts[query] + query * len(b) + self.place[at] - np.repeat(np.arange(k, stop), n) + len(b)
+            found, times = np.unique(more, return_counts=True)
+            if len(slots):
+                found, where = np.unique(np.concatenate([slots, found]), return_inverse=True)
+                times = np.bincount(where, weights=np.concatenate([counts, times])).astype(np.int64)
+            slots, counts, k = found, times, stop
+        return slots, counts
+
+    def align(self, b: np.ndarray, least: int = SPAN) -> list[np.ndarray]:
+        """Columns query, offset, overlap, hits, bit error: what align() gives for each query and b."""
+        slots, counts = self._histogram(b)
+        query = np.searchsorted(self.starts + np.arange(len(self.starts)) * len(b), slots, "right") - 1
+        order = np.lexsort((slots, -counts, query))
+        order = order[np.unique(query[order], return_index=True)[1]]
+        query, hits = query[order], counts[order]
+        offset = slots[order] - self.starts[query] - query * len(b) - len(b)
+        start, end = np.maximum(0, offset), np.minimum(self.sizes[query], len(b) + offset)
+        kept = end - start >= least
+        query, hits, offset, start, overlap = query[kept], hits[kept], offset[kept], start[kept], (end - start)[kept]
+        if not len(query):
+            return [query, offset, overlap, hits, np.zeros(0)]
+        first = np.cumsum(overlap) - overlap
+        frame = np.repeat(start - first, overlap) + np.arange(overlap.sum())
+        wrong = np.bitwise_count((self.flat[np.repeat(self.starts[query], overlap) + frame] ^ b[frame - np.repeat(offset, overlap)]).view(np.uint32))
+        return [query, offset, overlap, hits, np.add.reduceat(wrong.astype(np.int64), first) / (32 * overlap)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for q, i, a, b in zip(batch.column("query_id").to_pylist(), batch.column("id").to_pylist(), batch.column("query_prints"), batch.column("prints"), strict=True):
-                got = align(a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False))
-                if got and got[3] <= max_error:
-                    found.append((q, i, *got))
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names)
-
-    out = both.select("query_id", "id", "query_prints", "prints").mapInArrow(run, "query_id bigint, id bigint, offset bigint, overlap bigint, hits bigint, bit_error double")
+
+def match_recordings(prints: DataFrame, queries: DataFrame, max_error: float = 0.2) -> DataFrame:
+    """query_id, id, offset, overlap, hits, bit_error of each pair of a query and another recording that aligns."""
+    rows, asked = (x.where("size(prints) > 0").select("id", "prints").distinct() for x in (prints, queries))
+    parts, blocks = (max(1, -(-(x.agg(F.sum(F.size("prints"))).first()[0] or 0) // most)) for x, most in ((rows, PART_INTS), (asked, BLOCK_INTS)))
+    cell = lambda n: F.pmod(F.xxhash64("id", "prints"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    rows = rows.withColumn("part", cell(parts)).select("*", each(blocks).alias("block"))
+    asked = asked.withColumn("block", cell(blocks)).select("*", each(parts).alias("part"))
+    kinds = [*[("query_id id offset overlap hits".split()[k], pa.int64()) for k in range(5)], ("bit_error", pa.float64())]
+
+    def run(some: pa.Table, block: pa.Table) -> pa.Table:
+        found = [[np.zeros(0, dtype=t.to_pandas_dtype()) for _, t in kinds]]
+        names = block.column("id").to_numpy()
+        if len(names):
+            index = QueryBlock([p.values.to_numpy() for p in block.column("prints")])
+            for i, p in zip(some.column("id").to_pylist(), some.column("prints"), strict=True):
+                query, *columns, error = index.align(p.values.to_numpy())
+                good = (error <= max_error) & (names[query] != i)
+                found.append([names[query[good]], np.full(good.sum(), i), *(c[good] for c in columns), error[good]])
+        return pa.table([pa.array(np.concatenate(c), t) for c, (_, t) in zip(zip(*found, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
+    key = ["block", "part"]
+    out = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, "query_id bigint, id bigint, offset bigint, overlap bigint, hits bigint, bit_error double")
     return out.distinct()
 
 
