@@ -275,6 +275,25 @@ def test_passages(spark):
     assert all(r.identity >= 0.8 and r.n_words >= 50 for r in got.values())
 
 
+def own_words(tag, n):
+    return [f"{tag}{k}" for k in range(n)]
+
+
+def test_passages_of_changed_words_are_found(spark):
+    """Fifty words, of them 3 to 10 changed: all found, but for a few at exactly 0.8."""
+    r, rows = random.Random(12), []
+    for k in range(80):
+        passage = own_words(f"p{k}x", 50)
+        changed = list(passage)
+        for at in r.sample(range(50), (3, 5, 8, 10)[k % 4]):
+            changed[at] = f"other{k}x{at}"
+        rows += [(2 * k, " ".join(own_words(f"a{k}x", 70) + passage + own_words(f"b{k}x", 70))), (2 * k + 1, " ".join(own_words(f"c{k}x", 90) + changed + own_words(f"d{k}x", 40)))]
+    got = substring_dedup.passages(docs(spark, rows, True)).collect()
+    assert all(x.other_id == x.doc_id - 1 and x.identity >= 0.8 and x.n_words >= 50 for x in got)
+    found = {x.other_id // 2 for x in got}
+    assert {k for k in range(80) if k % 4 < 3} <= found and len(found) >= 78
+
+
 def test_chain_is_the_best_chain():
     r = random.Random(4)
     for _ in range(40):
