@@ -294,6 +294,20 @@ def test_passages_of_changed_words_are_found(spark):
     assert {k for k in range(80) if k % 4 < 3} <= found and len(found) >= 78
 
 
+def test_passages_behind_holders_of_a_part(spark):
+    """Smaller ids hold parts, too short for a passage at 0.8, of what two documents share; with two parts, no first or last holder has the whole."""
+    rows = []
+    for k, parts in enumerate([[(0, 38)], [(6, 44)], [(0, 30), (12, 50)], [(0, 38), (12, 50), (7, 45)]]):
+        passage, base = own_words(f"p{k}x", 50), 100 * k
+        pieces = [passage[a:b] for a, b in parts]
+        for j, w in enumerate([*pieces, passage, *pieces, passage]):
+            rows.append((base + j, " ".join(own_words(f"a{k}x{j}x", 60) + w + own_words(f"b{k}x{j}x", 60))))
+    got = substring_dedup.passages(docs(spark, rows, True)).collect()
+    want = {(100 * k + 2 * n + 1, 60, 50, 100 * k + n) for k, n in enumerate([1, 1, 2, 3])}
+    assert want == {(x.doc_id, x.start_word, x.n_words, x.other_id) for x in got if x.n_words == x.equal_words}
+    assert all(x.identity >= 0.8 and x.n_words >= 50 for x in got)
+
+
 def test_chain_is_the_best_chain():
     r = random.Random(4)
     for _ in range(40):
