@@ -308,6 +308,14 @@ def test_passages_behind_holders_of_a_part(spark):
     assert all(x.identity >= 0.8 and x.n_words >= 50 for x in got)
 
 
+def test_passage_held_twice_is_reported_twice(spark):
+    passage, part = own_words("p", 60), own_words("p", 60)[:35]
+    texts = [own_words("a", 80) + passage + own_words("b", 40), own_words("c", 30) + passage + own_words("d", 70) + passage + own_words("e", 10)]
+    texts += [own_words("f", 20) + part + own_words("g", 90) + passage, own_words("h", 15) + passage]
+    got = substring_dedup.passages(docs(spark, [(k, " ".join(x)) for k, x in enumerate(texts)], True)).collect()
+    assert {(x.doc_id, x.start_word, x.n_words, x.other_id, x.other_start) for x in got} == {(1, 30, 60, 0, 80), (1, 160, 60, 0, 80), (2, 145, 60, 0, 80), (3, 15, 60, 0, 80)}
+
+
 def test_chain_is_the_best_chain():
     r = random.Random(4)
     for _ in range(40):
