@@ -490,6 +490,20 @@ def test_rake_meets_the_margins():
     assert (p <= 1).all() and (p * sums).sum() == pytest.approx(0.5 * sums.sum())
 
 
+def test_bounded_rake_meets_what_the_tokens_allow():
+    codes = np.array([(a, b) for a in range(3) for b in range(2)])
+    sums = np.array([30.0, 2, 30, 28, 4, 6])
+    targets = [np.array([0.4, 0.5, 0.1]), np.array([0.6, 0.4])]
+    w = mixing.rake(sums, codes, targets)
+    assert (w * 0.7 * sums.sum() > sums).any()
+    got = mixing.bounded(sums, w, codes, targets, 0.7) * sums
+    assert (got <= sums + 1e-9).all() and got.sum() == pytest.approx(70)
+    for d, t in enumerate(targets):
+        assert np.allclose(np.bincount(codes[:, d], weights=got) / 70, t, atol=1e-6)
+    scarce = mixing.bounded(sums, w, codes, [np.array([0.3, 0.3, 0.4]), targets[1]], 0.7) * sums
+    assert np.allclose(np.bincount(codes[:, 0], weights=scarce), [30, 30, 10], atol=1e-6)
+
+
 def test_mix(spark):
     rows = [(k, prose(k, 40 + k % 60), ("en", "de")[k % 5 == 0], f"src{k % 3}") for k in range(900)] + [(None, None, None, None), (901, "", "xx", "other"), (902, "a|b|c", "en", "src0"), (5, prose(5, 45), "de", "src2")]
     d = docs(spark, rows, True)
