@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from recordloom.llm import arc_convert, audio, catalog, chat_format, exact_dedup, line_dedup, mixing, packing, quality, simhash, substring_dedup
+from recordloom.llm import arc_convert, catalog, chat_format, exact_dedup, line_dedup, mixing, packing, quality, simhash, substring_dedup
 from recordloom.llm.common import fresh_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -341,52 +341,6 @@ def test_common_words_follows_dynamic_programming():
         assert substring_dedup.common_words(a, b) == t[-1][-1]
 
 
-# -- audio
-
-
-def test_audio_match_follows_brute_force(spark):
-    r = np.random.default_rng(1)
-    base = [audio.vector_audio(list(r.normal(size=64)))[0] for _ in range(12)]
-    clips = {k: x for k, x in enumerate(base)} | {100: base[3][audio.HOP * 10 :], 200: base[5] + r.normal(size=len(base[5])) * 0.02, 300: np.concatenate([np.zeros(audio.HOP * 7), base[7]]), 301: base[0][:500]}
-    rows = [(k, audio.encode_wav(x * 0.9)) for k, x in clips.items()] + [(400, None), (None, audio.encode_wav(base[0])), (3, audio.encode_wav(base[3] * 0.9))]
-    prints = audio.fingerprint_audio(spark.createDataFrame([(*x, "clash") for x in rows], "rec bigint, wav binary, prints string"), "rec", "wav").cache()
-    got = {(m.query_id, m.id): m for m in audio.match_recordings(prints, prints.where("id % 100 = 0")).collect()}
-    each = {p.id: np.array(p.prints, dtype=np.int32) for p in prints.collect()}
-    want = set()
-    for a in each:
-        for b in each:
-            if a % 100 == 0 and a != b and (x := audio.align(each[a], each[b])) and x[3] <= 0.2:
-                want.add((a, b))
-    assert {(100, 3), (200, 5), (300, 7)} <= set(got) == want
-    assert got[100, 3].offset == -10 and got[300, 7].offset == 7
-
-
-def test_query_block_aligns_as_single_pairs(monkeypatch):
-    r = np.random.default_rng(2)
-    some = [r.integers(0, 9, n).astype(np.int32) for n in (0, 5, 17, 40, 40, 90, 200)] + [np.zeros(60, dtype=np.int32)]
-    for at_once in (audio.AT_ONCE, 7):
-        monkeypatch.setattr(audio, "AT_ONCE", at_once)
-        index = audio.QueryBlock(some)
-        for b in some:
-            got = {int(q): tuple(x) for q, *x in zip(*index.align(b), strict=True)}
-            assert got == {k: x for k, a in enumerate(some) if (x := audio.align(a, b))}
-
-
-def test_audio_match_is_whole_over_a_grid(spark, monkeypatch):
-    r = np.random.default_rng(6)
-    each = {k: audio.pack_frames(audio.chroma(*audio.vector_audio(list(r.normal(size=64))))).view(np.int32) for k in range(0, 400, 4)}
-    prints = spark.createDataFrame([(k, p.tolist()) for k, p in each.items()] + [(100, each[100].tolist()), (5, []), (6, None)], "id bigint, prints array<int>")
-    monkeypatch.setattr(audio, "BLOCK_INTS", 200)
-    monkeypatch.setattr(audio, "PART_INTS", 3000)
-    got = {tuple(m) for m in audio.match_recordings(prints, prints.where("id % 100 = 0"), 0.3).collect()}
-    assert got == {(a, b, *x) for a in each for b in each if a % 100 == 0 and a != b and (x := audio.align(each[a], each[b])) and x[3] <= 0.3} != set()
-
-
-def test_vector_audio_defined_for_odd_vectors():
-    assert len(audio.vector_audio(None)[0]) == len(audio.vector_audio([])[0]) == 0
-    assert np.isfinite(audio.vector_audio([None, 0.0, float("nan")])[0]).all()
-
-
 # -- ARC
 
 
