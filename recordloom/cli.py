@@ -91,7 +91,7 @@ def inspect(spark: SparkSession, source: str, dictionary: str, number: int) -> d
         records = scan(volume)
         is_entry = entities.local_name("qname") == book.ENTRY_ELEMENTS[dictionary]
         n = records.agg(F.count_if(is_entry & F.col("kind").isin("start_element", "empty_element")).alias("n")).first().n
-        return n, digest.record_counts(records).join(digest.canonical_digest_streamed(records), "relative_path").first()
+        return n, digest.record_counts(records).join(digest.canonical_digest(records), "relative_path").first()
 
     n, row = guarded("source", run)
     total = volume.first()

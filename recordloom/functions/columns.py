@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What digests and fingerprints begin with, unless their parameter names the preamble of a system to be compared with.
+DIGEST_PREAMBLE = "recordloom/record-digest/v1"
+FINGERPRINT_PREAMBLE = "recordloom/schema-fingerprint/v1"
 #: Fixed values of the formats.
-DIGEST_PREAMBLE = "korean-dict-epub/source-record-digest/v1"
-FINGERPRINT_PREAMBLE = "korean-dict-web/schema-fingerprint/v1"
 ID_PREFIX = "kweb:v1"
 BOOK_NAMESPACE = "34a87ea1-f0e4-4f4d-8894-1de178aa7a3e"
 ENTITY_KINDS = ["entry", "part_of_speech", "common_pattern", "sense"]
 UNIT_KINDS = {"어휘": "entry", "품사": "part_of_speech", "공통 문형": "common_pattern", "의미": "sense"}
 DICTIONARIES = ["krdict", "stdict", "opendict"]
+FILE_PREFIXES = {"krdict": "01-한국어기초사전", "stdict": "02-표준국어대사전", "opendict": "03-우리말샘"}
 ENTRY_ELEMENTS = {"krdict": "LexicalEntry", "stdict": "item", "opendict": "item"}
 CONTROLS = [c for c in range(32) if c not in (9, 10, 13)]
 ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"}
@@ -38,10 +40,6 @@ def key_or_null(x: Column | str) -> Column:
     return F.nullif(trim_u(x), F.lit(""))
 
 
-def is_blank(x: Column | str) -> Column:
-    return _col(x).rlike(r"(?U)^\s*$")
-
-
 def local_name(x: Column | str) -> Column:
     return F.substring_index(_col(x), ":", -1)
 
@@ -59,11 +57,15 @@ def sanitize(x: Column | str) -> Column:
 
 
 def restore(x: Column | str) -> Column:
-    """The inverse of sanitize(). U+10FFFF stands for a doubled mark meanwhile."""
-    out = F.replace(_col(x), F.lit("\uE000\uE000"), F.lit("\U0010FFFF"))
-    for c in CONTROLS:
-        out = F.replace(out, F.lit("\uE000" + chr(0xE010 + c)), F.lit(chr(c)))
-    return F.replace(out, F.lit("\U0010FFFF"), F.lit("\uE000"))
+    """The inverse of sanitize(); an escape that sanitize() doesn't write is an error. Between doubled marks, each mark
+    begins a control's escape."""
+
+    def back(piece: Column) -> Column:
+        for c in CONTROLS:
+            piece = F.replace(piece, F.lit("\uE000" + chr(0xE010 + c)), F.lit(chr(c)))
+        return F.when(F.contains(piece, F.lit("\uE000")), F.raise_error(F.lit("invalid control escape"))).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(_col(x), "\uE000\uE000", -1), back), "\uE000")
 
 
 def escape_xml(x: Column | str) -> Column:

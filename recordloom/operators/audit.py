@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Fixed values, stated again on purpose.
-PREAMBLE = b"korean-dict-epub/source-record-digest/v1\0"
+PREAMBLE = "recordloom/record-digest/v1"
+PREFIXES = {"krdict": "01-한국어기초사전", "stdict": "02-표준국어대사전", "opendict": "03-우리말샘"}
 ENTRY = {"krdict": "LexicalEntry", "stdict": "item", "opendict": "item"}
 TITLES = {"krdict": "한국어기초사전", "stdict": "표준국어대사전", "opendict": "우리말샘"}
 NAMESPACE = uuid.UUID("34a87ea1-f0e4-4f4d-8894-1de178aa7a3e")
@@ -91,11 +92,15 @@ def book_records(data: bytes) -> tuple[list[tuple], list[str], dict]:
             if tag == "item" and pairs["media-type"] == "application/xhtml+xml":
                 href[pairs["id"]] = pairs["href"]
             elif tag == "itemref":
+                if pairs["idref"] not in href:
+                    raise ValueError(f"the spine names {pairs['idref']}, which the manifest lacks")
                 spine.append(href[pairs["idref"]])
         elif e[0] == "text" and tag and e[1].strip():
             meta[prop or tag] = e[1]
         else:
             tag = None
+    if not spine:
+        raise ValueError("the spine is empty")
     records, heads = [], []
     for name in spine:
         if name.startswith("/") or ".." in name.split("/"):
@@ -152,8 +157,8 @@ def _append(now: list, css: list[str], value: str) -> None:
         now[2] = (now[2] or "") + value
 
 
-def summary(records: list[tuple], heads: list[str]) -> dict:
-    sha = hashlib.sha256(PREAMBLE)
+def summary(records: list[tuple], heads: list[str], preamble: str = PREAMBLE) -> dict:
+    sha = hashlib.sha256(preamble.encode() + b"\0")
     counts = dict.fromkeys(("elements", "empty_elements", "end_elements", "attributes", "element_texts", "tail_texts", "control_characters"), 0)
     for kind, depth, name, text, pairs in records:
         word = (name if name is not None else text or "").encode()
@@ -197,15 +202,15 @@ def source_heads(dictionary: str, records: list[tuple]) -> list[str]:
     return heads
 
 
-def compare(dictionary: str, path: str, number: int, total: int, filename: str, source: bytes, book: bytes) -> list[dict]:
+def compare(dictionary: str, path: str, number: int, total: int, filename: str, source: bytes, book: bytes, preamble: str = PREAMBLE) -> list[dict]:
     """The fifteen checks: name, passed, expected and actual as JSON."""
     wanted = list(source_records(source))
-    want = summary(wanted, source_heads(dictionary, wanted))
+    want = summary(wanted, source_heads(dictionary, wanted), preamble)
     records, heads, meta = book_records(book)
-    got = summary(records, heads)
+    got = summary(records, heads, preamble)
     rows = [(k, want[k], got[k]) for k in CHECKS if k in want]
     rows.append(("entries", want["headword_count"], len(heads)))
-    rows.append(("output_filename", f"{dictionary}-{number:03d}-of-{total:03d}.epub", filename))
+    rows.append(("output_filename", f"{PREFIXES[dictionary]}-{number:03d}-of-{total:03d}.epub", filename))
     rows += [
         ("metadata_title", f"{TITLES[dictionary]} {number:03d}/{total:03d}", meta.get("dc:title")),
         ("metadata_identifier", f"urn:uuid:{uuid.uuid5(NAMESPACE, f'{dictionary}/{path}')}", meta.get("dc:identifier")),
@@ -219,13 +224,13 @@ def compare(dictionary: str, path: str, number: int, total: int, filename: str,
     return [{"name": n, "passed": a == b, "expected": json.dumps(a, ensure_ascii=False), "actual": json.dumps(b, ensure_ascii=False)} for n, a, b in rows]
 
 
-def audit_books(books: DataFrame) -> DataFrame:
+def audit_books(books: DataFrame, preamble: str = PREAMBLE) -> DataFrame:
     """books: as of build_books(). relative_path, check, passed, expected, actual; one task reads one book and its source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                rows = compare(r["dictionary"], r["relative_path"], r["volume_number"], r["volume_total"], r["output_filename"], r["content"], r["epub"])
+                rows = compare(r["dictionary"], r["relative_path"], r["volume_number"], r["volume_total"], r["output_filename"], r["content"], r["epub"], preamble)
                 cols = [[r["relative_path"]] * len(rows), *[[x[k] for x in rows] for k in ("name", "passed", "expected", "actual")]]
                 kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["relative_path", "check", "passed", "expected", "actual"])

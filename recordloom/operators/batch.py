@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators.audit import audit_books
 from recordloom.operators.book import build_books
+from recordloom.session import cut
 
 
 def rollup(statuses: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def rollup(statuses: DataFrame) -> DataFrame:
 
 def batch(volumes: DataFrame, corpus: str = "corpus") -> DataFrame:
     """Build and audit every volume: corpus, relative_path, status, entries, failed_checks (JSON)."""
-    books = build_books(volumes)
+    books = cut(build_books(volumes), "books")
     verdicts = audit_books(books).groupBy("relative_path").agg(F.to_json(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("check"))))).alias("failed_checks"))
     rows = books.select("relative_path", "entries").join(verdicts, "relative_path")
     return rows.select(F.lit(corpus).alias("corpus"), "relative_path", F.when(F.col("failed_checks") == "[]", "passed").otherwise("failed").alias("status"), "entries", "failed_checks")

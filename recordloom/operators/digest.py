@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.columns import DIGEST_PREAMBLE, control_count, trim_u
+from recordloom.functions.columns import DIGEST_PREAMBLE, FINGERPRINT_PREAMBLE, control_count, trim_u
 
 #: The tag byte of each kind.
 TAGS = {"start_element": "01", "empty_element": "02", "element_text": "03", "tail_text": "04", "end_element": "05"}
@@ -51,15 +50,15 @@ def token_hex() -> Column:
     return F.concat(tag, _hex64(F.col("depth")), _coded(F.coalesce("qname", "text_value")), more)
 
 
-def canonical_digest(records: DataFrame) -> DataFrame:
-    """relative_path, record_sha256; a file's token string is put together in one task."""
+def canonical_digest_collected(records: DataFrame, preamble: str = DIGEST_PREAMBLE) -> DataFrame:
+    """relative_path, record_sha256 for small files: a file's token string is put together as one value."""
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_ordinal", token_hex().alias("t")))), lambda x: x["t"]), "")
-    start = DIGEST_PREAMBLE.encode().hex() + "00"
+    start = preamble.encode().hex() + "00"
     return records.groupBy("relative_path").agg(F.sha2(F.unhex(F.concat(F.lit(start), parts)), 256).alias("record_sha256"))
 
 
-def canonical_digest_streamed(records: DataFrame) -> DataFrame:
-    """The same for files of any size: sorted records run through one hash state."""
+def canonical_digest(records: DataFrame, preamble: str = DIGEST_PREAMBLE) -> DataFrame:
+    """relative_path, record_sha256 for files of any size: sorted records run through one hash state."""
     rows = records.select("relative_path", "record_ordinal", F.unhex(token_hex()).alias("t")).repartition("relative_path").sortWithinPartitions("relative_path", "record_ordinal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +69,7 @@ def canonical_digest_streamed(records: DataFrame) -> DataFrame:
                 if path != now:
                     if state is not None:
                         out.append((now, state.hexdigest()))
-                    now, state = path, hashlib.sha256(DIGEST_PREAMBLE.encode() + b"\0")
+                    now, state = path, hashlib.sha256(preamble.encode() + b"\0")
                 state.update(token.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in (0, 1)], ["relative_path", "record_sha256"])
         if state is not None:
@@ -88,12 +87,9 @@ def headword_digest(headwords: DataFrame) -> DataFrame:
     )
 
 
-def schema_fingerprint(objects: DataFrame, preamble: str) -> DataFrame:
+def schema_fingerprint(objects: DataFrame, preamble: str = FINGERPRINT_PREAMBLE) -> DataFrame:
     """objects: type, name, tbl_name, sql. One digest over the length-prefixed fields in order of type and name."""
     token = F.concat(*[_coded(F.col(c)) for c in ("type", "name", "tbl_name", "sql")])
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "name", token.alias("t")))), lambda x: x["t"]), "")
     return objects.agg(F.sha2(F.unhex(F.concat(F.lit(preamble.encode().hex() + "00"), parts)), 256).alias("fingerprint"))
 
-
-def pack_u64(n: int) -> bytes:
-    return struct.pack(">Q", n)

@@ -92,7 +92,9 @@ def entities(inner: DataFrame) -> DataFrame:
 
 def identified(entry_rows: DataFrame, entity_rows: DataFrame, commit: str) -> DataFrame:
     """All entities with canonical_id and owner_entry_id. Entry keys count corpus-wide in a dictionary, nested ones within the entry."""
-    keyed = entry_rows.withColumn("occurrences", F.when(F.col("native_key").isNull(), 0).otherwise(F.count("native_key").over(W.partitionBy("dictionary", "native_key"))))
+    # counted by an aggregate, which combines before its shuffle; rows without a key meet no count and stay where they are
+    counts = entry_rows.where("native_key IS NOT NULL").groupBy("dictionary", "native_key").agg(F.count(F.lit(1)).alias("occurrences"))
+    keyed = entry_rows.join(counts, ["dictionary", "native_key"], "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
     place = locator(F.col("dictionary"), F.col("relative_path"), F.col("entry_ordinal"))
     none = F.lit(None).cast("string")
     tops = keyed.select("*", place.alias("locator"), canonical_id(commit, F.col("dictionary"), F.lit("entry"), F.col("native_key"), F.col("occurrences"), none, place).alias("canonical_id"))

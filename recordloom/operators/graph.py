@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordloom.session import cut
@@ -105,5 +106,7 @@ def cycle_groups(relations: DataFrame, components: DataFrame, sample: int = 10)
     at = components.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     to = components.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     inside = relations.where("a <> b").join(at, "a").join(to, "b").where("ca = cb").groupBy(F.col("ca").alias("component")).agg(F.count(F.lit(1)).alias("relation_edges"))
-    ranked = components.groupBy("component").agg(F.first("members").alias("members"), F.slice(F.array_sort(F.collect_set("node")), 1, sample).alias("sample"))
+    order = W.partitionBy("component").orderBy("node")
+    least = components.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    ranked = least.groupBy("component").agg(F.first("members").alias("members"), F.array_sort(F.collect_list("node")).alias("sample"))
     return ranked.join(inside, "component").select("component", "members", "relation_edges", "sample")

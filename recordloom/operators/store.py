@@ -12,7 +12,6 @@ from recordloom.operators.digest import canonical_digest, record_counts
 from recordloom.operators.entities import entries, identified, with_entries
 from recordloom.sources.xml_records import scan
 
-TABLES = ["source_record", "source_attribute", "entity", "entry_projection"]
 
 
 def foreign_key(name: str, child: DataFrame, parent: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -119,15 +119,15 @@ t AS (SELECT n_regionkey, n_nationkey,
  || '03' || printf('%016x', 2) || nm || '05' || printf('%016x', 2) || printf('%016x', 1) || hex(encode('w'))
  || '05' || printf('%016x', 1) || printf('%016x', 4) || hex(encode('item')) AS tok FROM x)
 SELECT 'stdict/' || n_regionkey || '.xml' AS relative_path,
- sha256(unhex(hex(encode('korean-dict-epub/source-record-digest/v1')) || '00' || '01' || printf('%016x', 0) || printf('%016x', 7) || hex(encode('channel')) || printf('%016x', 0)
+ sha256(unhex(hex(encode('recordloom/record-digest/v1')) || '00' || '01' || printf('%016x', 0) || printf('%016x', 7) || hex(encode('channel')) || printf('%016x', 0)
  || string_agg(tok, '' ORDER BY n_nationkey) || '05' || printf('%016x', 0) || printf('%016x', 7) || hex(encode('channel')))) AS record_sha256
 FROM t GROUP BY n_regionkey""")
 def canonical_digest(spark, d):
     return digest.canonical_digest(xml_records.scan(nation_files(spark, d)))
 
 
-QUERIES["canonical_digest_streamed"] = lambda spark, d: digest.canonical_digest_streamed(xml_records.scan(nation_files(spark, d)))
-SQL["canonical_digest_streamed"] = SQL["canonical_digest"]
+QUERIES["canonical_digest_collected"] = lambda spark, d: digest.canonical_digest_collected(xml_records.scan(nation_files(spark, d)))
+SQL["canonical_digest_collected"] = SQL["canonical_digest"]
 
 
 @query("""
@@ -198,9 +198,9 @@ def url_host_query(spark, d):
 WITH w AS (SELECT p_partkey, p_name AS h, k, CASE k WHEN 0 THEN p_name WHEN 1 THEN ' ' || p_name || ' ' WHEN 2 THEN p_name || '7' WHEN 3 THEN p_name || '07' WHEN 4 THEN p_name || '007' WHEN 5 THEN p_name || '0007' ELSE p_name || 'x07' END AS word
  FROM part, range(7) r(k))
 SELECT p_partkey, k::INTEGER AS k, trim(word) = h OR regexp_full_match(substr(trim(word), length(h) + 1), '[0-9]{2,3}') AND NOT regexp_matches(h, '[0-9]$') AND starts_with(trim(word), h) AS compatible
-FROM w WHERE NOT regexp_matches(h, '[0-9]$')""")
+FROM w""")
 def labels_compatible(spark, d):
-    p = table(spark, d, "part").where(~F.col("p_name").rlike("[0-9]$")).select("p_partkey", F.col("p_name").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
     words = ["h", F.concat(F.lit(" "), "h", F.lit(" ")), *[F.concat("h", F.lit(x)) for x in ("7", "07", "007", "0007", "x07")]]
     word = F.get(F.array(*words), F.col("k"))
     return p.select("p_partkey", "k", C.labels_compatible(word, F.col("h")).alias("compatible"))
@@ -277,7 +277,7 @@ r AS (SELECT o_orderkey AS relation_id, {_DICT.format("o_orderkey")} AS dictiona
  CASE o_orderkey % 4 WHEN 0 THEN ['https://' || {_DICT.format("o_orderkey")} || '.korean.go.kr/v?word_no=' || (o_custkey % 120) || '&sense_no=' || (o_custkey % 121)]
   WHEN 1 THEN ['https://' || {_DICT.format("o_orderkey")} || '.korean.go.kr/v'] ELSE []::VARCHAR[] END AS urls FROM orders),
 c AS (SELECT {_DICT.format("c_custkey")} AS dictionary, CASE WHEN c_custkey % 9 = 8 THEN 'sense' WHEN c_custkey % 9 = 7 THEN 'part_of_speech' ELSE 'entry' END AS entity_kind, (c_custkey % 100)::VARCHAR AS native_key,
- 'k' || c_custkey AS canonical_id, 'c' || (c_custkey % 97) AS owner_entry_id, (c_custkey % 100)::VARCHAR AS entry_key, 'w' || (c_custkey % 4) AS headword, (c_custkey % 3)::VARCHAR AS homonym FROM customer WHERE c_custkey % 100 < 90 OR c_custkey < 1000)
+ 'k' || c_custkey AS canonical_id, 'c' || (c_custkey % 97) AS owner_entry_id, (c_custkey % 100)::VARCHAR AS entry_key, 'w' || (c_custkey % 4) AS headword, (c_custkey % 3)::VARCHAR AS homonym FROM customer)
 """
 
 
@@ -298,7 +298,7 @@ def relation_rows(spark, d) -> tuple[DataFrame, DataFrame]:
         F.when(k % 4 == 0, F.array(F.concat(host, F.lit("?word_no="), cust(120), F.lit("&sense_no="), cust(121)))).when(k % 4 == 1, F.array(host)).otherwise(none).alias("urls"),
     )
     c, n = table(spark, d, "customer"), F.col("c_custkey")
-    cands = c.where((n % 100 < 90) | (n < 1000)).select(
+    cands = c.select(
         F.expr(_DICT.format("c_custkey")).alias("dictionary"), F.when(n % 9 == 8, "sense").when(n % 9 == 7, "part_of_speech").otherwise("entry").alias("entity_kind"), s(n % 100).alias("native_key"),
         F.concat(F.lit("k"), s(n)).alias("canonical_id"), F.concat(F.lit("c"), s(n % 97)).alias("owner_entry_id"), s(n % 100).alias("entry_key"), F.concat(F.lit("w"), s(n % 4)).alias("headword"), s(n % 3).alias("homonym"),
     )
@@ -369,7 +369,7 @@ def relation_type_counts(spark, d):
 # -- graph
 
 _EDGES_SQL = """
-e AS (SELECT s_suppkey AS a, (s_suppkey * 7 + s_nationkey) % 83 + 1 AS b FROM supplier WHERE s_suppkey <= 400 UNION ALL SELECT s_suppkey, (s_suppkey + s_nationkey * 13) % 83 + 1 FROM supplier WHERE s_acctbal > 6000 AND s_suppkey <= 400),
+e AS (SELECT s_suppkey AS a, (s_suppkey * 7 + s_nationkey) % 83 + 1 AS b FROM supplier UNION ALL SELECT s_suppkey, (s_suppkey + s_nationkey * 13) % 83 + 1 FROM supplier WHERE s_acctbal > 6000),
 reach AS (SELECT DISTINCT a, b FROM e WHERE a <> b UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
 pairs AS (SELECT x.a AS node, x.b AS other FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a AND x.a <> x.b),
 comp AS (SELECT node, least(node, min(other)) AS component, count(DISTINCT other) + 1 AS members FROM pairs GROUP BY node)
@@ -377,7 +377,7 @@ comp AS (SELECT node, least(node, min(other)) AS component, count(DISTINCT other
 
 
 def graph_edges(spark, d) -> DataFrame:
-    x = table(spark, d, "supplier").where("s_suppkey <= 400")
+    x = table(spark, d, "supplier")
     one = x.select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 7 + F.col("s_nationkey")) % 83 + 1).alias("b"))
     return one.unionAll(x.where("s_acctbal > 6000").select("s_suppkey", (F.col("s_suppkey") + F.col("s_nationkey") * 13) % 83 + 1))
 
@@ -387,6 +387,12 @@ def scc_members(spark, d):
     return graph.strong_components(graph_edges(spark, d))
 
 
+@query(f"WITH RECURSIVE {_EDGES_SQL} SELECT node, component, members FROM comp")
+def scc_members_in_rounds(spark, d):
+    """The same by the distributed rounds, which graphs of over graph.DRIVER_EDGES edges take."""
+    return graph.strong_components(graph_edges(spark, d), driver_edges=0)
+
+
 @query(f"""WITH RECURSIVE {_EDGES_SQL} SELECT component, max(members) AS members, (SELECT count(*) FROM e JOIN comp x ON e.a = x.node JOIN comp y ON e.b = y.node WHERE e.a <> e.b AND x.component = y.component AND x.component = comp.component) AS relation_edges,
  array_to_string(list_slice(list_sort(list(node)), 1, 10), ' ') AS sample FROM comp GROUP BY component""")
 def cycle_summary(spark, d):
@@ -625,7 +631,7 @@ def logical_dump(spark, d):
 
 @query("""
 WITH o AS (SELECT 'table' AS type, r_name AS name, r_name AS tbl_name, 'CREATE TABLE ' || r_name AS sql FROM region), t AS (SELECT type, name, array_to_string(list_transform([type, name, tbl_name, sql], lambda x: printf('%016x', octet_length(encode(x))) || hex(encode(x))), '') AS tok FROM o)
-SELECT sha256(unhex(hex(encode('korean-dict-web/schema-fingerprint/v1')) || '00' || string_agg(tok, '' ORDER BY type, name))) AS fingerprint FROM t""")
+SELECT sha256(unhex(hex(encode('recordloom/schema-fingerprint/v1')) || '00' || string_agg(tok, '' ORDER BY type, name))) AS fingerprint FROM t""")
 def schema_fingerprint(spark, d):
     objects = table(spark, d, "region").select(F.lit("table").alias("type"), F.col("r_name").alias("name"), F.col("r_name").alias("tbl_name"), F.concat(F.lit("CREATE TABLE "), "r_name").alias("sql"))
     return digest.schema_fingerprint(objects, C.FINGERPRINT_PREAMBLE)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordloom.functions.columns import FILE_PREFIXES
+
 
 class CatalogError(ValueError):
     pass
@@ -40,7 +42,8 @@ def volumes(files: DataFrame, prefix: Column | None = None) -> DataFrame:
     """files (dictionary, relative_path) with volume_number, volume_total and output_filename."""
     each = W.partitionBy("dictionary")
     out = files.withColumn("volume_number", F.row_number().over(each.orderBy("relative_path")).cast("bigint")).withColumn("volume_total", F.count(F.lit(1)).over(each))
-    name = F.concat(F.col("dictionary") if prefix is None else prefix, F.lit("-"), F.lpad(F.col("volume_number").cast("string"), 3, "0"), F.lit("-of-"), F.lpad(F.col("volume_total").cast("string"), 3, "0"), F.lit(".epub"))
+    series = F.create_map(*[F.lit(x) for pair in FILE_PREFIXES.items() for x in pair])[F.col("dictionary")]
+    name = F.concat(F.coalesce(series, "dictionary") if prefix is None else prefix, F.lit("-"), F.lpad(F.col("volume_number").cast("string"), 3, "0"), F.lit("-of-"), F.lpad(F.col("volume_total").cast("string"), 3, "0"), F.lit(".epub"))
     return out.withColumn("output_filename", name)
 
 

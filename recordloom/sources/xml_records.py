@@ -8,6 +8,7 @@ unit; a malformed file raises in strict mode and is one row of kind "error" othe
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from xml.parsers import expat
@@ -40,6 +41,10 @@ _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 _ESCAPED = re.compile(_MARK + "(.?)", re.S)
 
 
+#: Bytes that the parser gets at a time.
+CHUNK = 1 << 16
+
+
 class SourceError(ValueError):
     pass
 
@@ -67,9 +72,11 @@ def restore(text: str) -> str:
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """(kind, depth, qname, text, attributes, parent, ancestors) of each record in order."""
+    """(kind, depth, qname, text, attributes, parent, ancestors) of each record in order, as the bytes are read: beside
+    the file, no more than the records of CHUNK bytes are held."""
     clean = sanitize_bytes(data)
-    out: list[tuple] = []
+    out: list[tuple] = []  # the records from ordinal base on
+    base = 0
     frames: list[dict] = []  # of open elements: ordinal, name, attributes, children, text, seen (anything since the start)
     p = expat.ParserCreate()
     p.ordered_attributes = True
@@ -95,14 +102,14 @@ def parse(data: bytes) -> Iterator[tuple]:
         parent, chain = above(frames)
         pairs = [{"name": restore(n), "value": restore(v)} for n, v in zip(attributes[::2], attributes[1::2], strict=True)]
         name = restore(name)
-        frames.append({"ordinal": len(out), "name": name, "children": 0, "text": [], "seen": False})
+        frames.append({"ordinal": base + len(out), "name": name, "children": 0, "text": [], "seen": False})
         out.append(("start_element", len(frames) - 1, name, None, pairs, parent, chain))
 
     def end(_: str) -> None:
         top = frames[-1]
         at = p.CurrentByteIndex
         if not top["seen"] and clean[at - 2 : at] == b"/>":
-            out[top["ordinal"]] = ("empty_element", *out[top["ordinal"]][1:])
+            out[top["ordinal"] - base] = ("empty_element", *out[top["ordinal"] - base][1:])
             frames.pop()
             return
         flush()
@@ -123,14 +130,28 @@ def parse(data: bytes) -> Iterator[tuple]:
             raise SourceError(f"unknown entity {value}")
         other()
 
+    def declared(name: str, *_) -> None:
+        raise SourceError(f"entity {name} is declared")
+
+    p.EntityDeclHandler = declared
     p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, text
     p.CommentHandler = p.ProcessingInstructionHandler = p.StartCdataSectionHandler = other
     p.DefaultHandler = default
     try:
-        p.Parse(clean, True)
+        for at in range(0, max(1, len(clean)), CHUNK):
+            p.Parse(clean[at : at + CHUNK], at + CHUNK >= len(clean))
+            done = len(out) - 1  # the last may yet turn out to be empty
+            if done > 0:
+                yield from out[:done]
+                del out[:done]
+                base += done
     except expat.ExpatError as e:
         raise SourceError(str(e)) from e
-    return iter(out)
+    yield from out
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], RECORD.names)
 
 
 def scan(files: DataFrame, strict: bool = True) -> DataFrame:
@@ -139,14 +160,17 @@ def scan(files: DataFrame, strict: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("relative_path").to_pylist(), batch.column("content"), strict=True):
+                data = content.as_buffer().to_pybytes()
                 try:
-                    rows = [(path, n, *r) for n, r in enumerate(parse(content.as_buffer().to_pybytes()))]
+                    if not strict:  # a malformed file has no record but its error
+                        for _ in parse(data):
+                            pass
+                    records = ((path, n, *r) for n, r in enumerate(parse(data)))
+                    while rows := list(itertools.islice(records, 8192)):
+                        yield _batch(rows)
                 except SourceError as e:
                     if strict:
                         raise SourceError(f"{path}: {e}") from e
-                    rows = [(path, 0, "error", 0, None, str(e), [], None, [])]
-                for k in range(0, len(rows), 8192):
-                    part = zip(*rows[k : k + 8192], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, _TYPES, strict=True)], RECORD.names)
+                    yield _batch([(path, 0, "error", 0, None, str(e), [], None, [])])
 
     return files.select("relative_path", "content").mapInArrow(run, RECORD)

@@ -4,6 +4,7 @@ import subprocess
 import pytest
 
 from recordloom import cli
+from recordloom.functions.columns import FILE_PREFIXES
 from recordloom.operators import migrations
 from recordloom.sources import catalog
 from tests.test_records import KR, ST
@@ -40,7 +41,7 @@ def test_commands(spark, corpus, tmp_path, capsys):
         "KDEP-E010": ["audit", *base, "--dictionary", "stdict"],
         "KDEP-E004": ["preflight", "--source", str(corpus), "--output", str(corpus / "x")],
         "KDEP-E001": ["preflight", "--source", str(tmp_path / "none"), "--output", str(out)],
-        "KDEP-E003": ["preflight", "--source", str(corpus), "--output", str(corpus / ".." / out / "krdict-001-of-001.epub")],
+        "KDEP-E003": ["preflight", "--source", str(corpus), "--output", str(corpus / ".." / out / f"{FILE_PREFIXES['krdict']}-001-of-001.epub")],
     }
     for code, words in failing.items():
         assert cli.main(words, spark) == 3 and code in capsys.readouterr().err, code
