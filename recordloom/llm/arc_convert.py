@@ -8,7 +8,7 @@ and are read back by declared lengths.
 
 Defined results: a null html is an empty payload; a null url is "unknown:"; a null page_id takes no part in the
 choice of the response, and a group whose ids are all null stays response. Rows repeated under the page_id that
-responds are responses too. An empty table gives an empty result. Only page_id, url and html are read.
+responds are responses too and share its record id. An empty table gives an empty result. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -87,9 +87,10 @@ def read_arc(data: bytes) -> Iterator[dict]:
 
 
 def to_warc(record: dict) -> dict:
-    """What WARC needs of an ARC record: type, id, date, target, content type, HTTP head, payload, digests."""
+    """What WARC needs of an ARC record: type, id, date, target, content type, HTTP head, payload, digests. The version
+    block is the record at the archive's start, whatever the urls of others say."""
     body, head, kind, mime = record["body"], b"", "resource", record["type"]
-    if record["url"].startswith("filedesc://"):
+    if record["at"] == 0:
         kind, mime = "warcinfo", "application/warc-fields"
     elif body.startswith(b"HTTP/"):
         cut = body.find(b"\r\n\r\n")
@@ -164,20 +165,23 @@ def convert(pages: DataFrame, path: str) -> DataFrame:
             for k in range(0, batch.num_rows, 64):
                 rows = batch.slice(k, 64).to_pylist()
                 names, out = [], []
+                info = None
                 arc = write_arc([page_as_arc(r["page_id"], r["url"], r["html"]) for r in rows], 1 + (part + k // 64) % 2, f"{part}.arc")
                 for n, record in enumerate(read_arc(arc)):
                     w = to_warc(record)
-                    if n:
-                        row = rows[n - 1]
-                        w["id"] = record_id(f"page {row['page_id']}") if row["page_id"] is not None else w["id"]
-                        out.append(warc_record(w, None if row["refers_to"] is None else str(row["refers_to"])))
-                    elif not size:
-                        out.append(warc_record(w))
-                    else:
+                    if not n:
+                        info = warc_record(w)
                         continue
+                    if not size:  # each archive begins with the version block's record
+                        out.append(info)
+                        names.append(f"{part:06d}-{archive:05d}")
+                        size = len(info)
+                    row = rows[n - 1]
+                    w["id"] = record_id(f"page {row['page_id']}") if row["page_id"] is not None else w["id"]
+                    out.append(warc_record(w, None if row["refers_to"] is None else str(row["refers_to"])))
                     names.append(f"{part:06d}-{archive:05d}")
                     size += len(out[-1])
-                    if size >= ARCHIVE_BYTES and n:
+                    if size >= ARCHIVE_BYTES:
                         archive, size = archive + 1, 0
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary())], ["archive", "record"])
 

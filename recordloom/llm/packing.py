@@ -8,7 +8,9 @@ length, and for the remainder one sequence for each power of two in it, which ne
 its own unit of work, and nothing is shuffled or gathered.
 
 Defined results: a null or empty text is the end id alone. Null or repeated ids are packed row by row. An empty
-table gives an empty result. Only the id and the text are read.
+table gives an empty result. Only the id and the text are read. Windows follow the input's partitions, so which documents
+share a sequence depends on how the files are split; each document's pieces and ids don't. A text and its ids are held
+whole, some 10 bytes a byte of text.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import table
 WINDOW_TOKENS, WINDOW_DOCS = 1 << 21, 8192
 #: Characters that every Unicode version puts in the same class; other texts go the slower way.
 PLAIN = re.compile(r"[\x00-\u024f\u2000-\u206f\u20a0-\u20bf]*")
+#: The merge ranks' splitter recurses over a run of one kind of character; texts with a longer one go the slower way.
+LONG_RUN = re.compile(r"\s{10000}|\w{10000}|[^\s\w]{10000}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -54,7 +58,7 @@ def encode(texts: list[str], vocabulary: str, ranks: str | None = None) -> list[
     out: list = [None] * len(texts)
     rest = []
     for k, text in enumerate(texts):
-        if fast is not None and PLAIN.fullmatch(text) and not any(x in text for x in added):
+        if fast is not None and PLAIN.fullmatch(text) and not any(x in text for x in added) and (len(text) < 10_000 or not LONG_RUN.search(text)):
             out[k] = np.array(fast.encode_ordinary(text), dtype="<u4")
         else:
             rest.append(k)

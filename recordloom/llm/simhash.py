@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, with_join_key
+from .common import free_name, materialize, table, with_join_key
 
 BITS = 64
 SHARD_SIZE = 1500
@@ -210,9 +210,14 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs with the smallest id of their component, with all their columns. A component of null ids keeps them."""
-    found = near_duplicates(docs, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return keep_ids(docs, near_duplicates(docs, **options))
+
+
+def keep_ids(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is the least of its component in found (doc_id, component_id)."""
+    name = free_name(docs, "id_kept")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,30 @@ def test_exact_dedup(spark, extra):
     assert left.columns == d.columns and left.count() == len(kept)
 
 
+@pytest.mark.parametrize("batches", [2, 5])
+def test_exact_dedup_in_batches(spark, batches):
+    rows = EDGES + [(100 + k, f"text {k % 7}") for k in range(40)] + [(60, "TEXT 3"), (60, "text 3")]
+    d = docs(spark, rows, True)
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "i"), 4)
+    got = exact_dedup.dedup_in_batches(d, index, "b", batches).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.digest.hex()) for r in got} == brute_exact(rows) and len(got) == len(rows)
+    kept = [r.digest for r in got if r.kept]
+    assert len(kept) == len(set(kept)) == len({r.digest for r in got})
+    assert index.rows().select("batch_id").distinct().count() > 1  # later batches met a filled index
+    again = index.compacted(fresh_path(spark, "i"))
+    assert again.rows().exceptAll(index.rows()).count() == 0 and again.rows().count() == index.rows().count()
+    index.forget()
+
+
+def test_names_of_other_columns_dont_clash(spark):
+    names = ["__d", "__id", "__digest", "digest_own", "id_key", "nth_copy", "id_kept", "ID_KEPT_", "__form", "__source", "__weight", "__kept", "j"]
+    d = spark.createDataFrame([(k, f"some text {k % 3} " * 9, "en", "src0", 1, *(["mine"] * len(names))) for k in range(6)], DOCS + "".join(f", `{n}` string" for n in names))
+    for got in (exact_dedup.keep_first(d, exact_dedup.DigestIndex(spark, fresh_path(spark, "i"), 4), "b"), simhash.keep_representatives(d), mixing.keep_sample(d)):
+        assert got.columns == d.columns
+        assert all(r[n] == "mine" for r in got.collect() for n in names)
+    assert exact_dedup.keep_first(d, exact_dedup.DigestIndex(spark, fresh_path(spark, "i"), 4), "b").count() == 3
+
+
 def test_exact_dedup_index_persists(spark):
     path = fresh_path(spark, "i")
     index = exact_dedup.DigestIndex(spark, path, 4)
@@ -163,6 +187,15 @@ def test_pack_is_whole_and_full():
             assert at <= 2048 and at & (at - 1) == 0  # full, or a power of two
 
 
+def test_long_runs_of_one_kind_are_tokenized():
+    import public_tokenizers
+
+    names = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [x * 1_000_000 for x in (" ", "\n", "a", ".", "\t ")] + ["a " + " " * 9_999 + "b", "x" * 10_000]
+    for fast, slow in zip(packing.encode(texts, *names), packing.encode(texts, names[0]), strict=True):
+        assert np.array_equal(fast, slow)
+
+
 def test_fast_ids_are_the_tokenizers_ids():
     import public_tokenizers as P
 
@@ -358,6 +391,19 @@ def test_arc_round_trip(version):
         list(arc_convert.read_arc(arc_convert.write_arc(records, version, "n.arc")[:-30]))
 
 
+def test_arc_archives_and_filedesc_urls(spark, monkeypatch):
+    """Archives that are cut within a chunk begin with their own version block; urls like the version block's are pages."""
+    monkeypatch.setattr(arc_convert, "ARCHIVE_BYTES", 3000)
+    rows = [(k, "filedesc://x" if k % 3 else "u", "p" * (500 + k)) for k in range(40)]
+    path = fresh_path(spark, "warc")
+    d = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    got = arc_convert.convert(arc_convert.mark_revisits(d), path).collect()
+    assert {(r.page_id, r.payload_bytes, r.target_uri) for r in got} == {(k, len(h), u) for k, u, h in rows} and len(got) == 40
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).collect()
+    kinds = [[f["warc-type"] for f, _ in arc_convert.read_warc(bytes(x.content))] for x in files]
+    assert len(kinds) > 5 and all(k[0] == "warcinfo" and k.count("warcinfo") == 1 for k in kinds)
+
+
 def test_arc_convert(spark):
     long = "<p>" + "x" * 200
     rows = [(3, "u", long), (1, None, long), (2, "u v\n", long), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", long), (None, "u", "y" * 150), (7, "é", "\r\n\r\nWARC/1.1\r\n" * 20), (1, "u", long), (8, "u", "é" * 1_000_000)]
