@@ -269,6 +269,42 @@ def test_simhash(spark, shard_size):
     assert {r.doc_id for r in kept.collect()} == {w[2] for w in want}
 
 
+def shingles(text, words=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def test_similar_documents(spark):
+    """Texts of a similarity well over 0.8 meet in one component, those well under stay apart; ids, nulls and copies as ever."""
+    r, rows, pairs = random.Random(5), [], []
+    for k in range(150):
+        words = prose(5000 + k, 60 + k).split()
+        other = list(words)
+        for at in r.sample(range(len(words)), k % 5):
+            other[at] = f"new{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        pairs.append((2 * k, len(a & b) / len(a | b)))
+    hot = prose(1, 120).split()
+    rows += [(1000 + k, " ".join(hot[:k] + ["odd"] + hot[k + 1 :])) for k in range(100)]
+    d = docs(spark, rows + [(2000, None), (2001, ""), (None, "x y z"), (2002, "x y z"), (2003, "x y z"), (2003, "x y z")], True)
+    found = {x.doc_id: x.component_id for x in simhash.similar_documents(d).collect()}
+    sure = [(k, j) for k, j in pairs if abs(j - 0.8) > 0.1]
+    assert len(sure) > 60 and all((found[k + 1] == k) == (j > 0.8) and found[k] == k for k, j in sure)
+    assert {found[1000 + k] for k in range(100)} == {1000}
+    assert found[2000] == found[2001] == 2000 and found[2002] == found[2003] == 2002
+    left = simhash.keep_dissimilar(d)
+    assert left.columns == d.columns and {x.doc_id for x in left.collect()} == {k for k, v in found.items() if k == v}
+
+
+def test_sketch_is_the_least_hashes():
+    text = prose(3, 9000)
+    seeds = np.unique(substring_dedup.word_seeds(substring_dedup.split_words(text), 5))
+    for j in (0, 7, 119):
+        mixed = [(int(s) * int(simhash._FACTORS[j]) + int(simhash._OFFSETS[j])) % 2**64 for s in seeds]
+        assert int(simhash.sketch(text)[j]) == min((x ^ x >> 32) * 0xD6E8FEB86659FD93 % 2**64 for x in mixed) >> 32
+
+
 def test_fingerprint_is_sparks_hash(spark):
     got = spark.sql("select xxhash64('some four word shingle') as h").first().h & 0xFFFFFFFFFFFFFFFF
     assert simhash.fingerprint("Some four\tWORD shingle") == got
