@@ -67,6 +67,13 @@ def encode(texts: list[str], vocabulary: str, ranks: str | None = None) -> list[
     return out
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The vocabulary and the same as merge ranks, where pack_documents() gets none."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def pack(sizes: list[int], room: int = 2048, linear: float = 1.0, quadratic: float = 1 / 2048) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; all sequences are full."""
     pieces, sequences, rest = [], 0, []
@@ -97,10 +104,8 @@ def pack(sizes: list[int], room: int = 2048, linear: float = 1.0, quadratic: flo
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, room: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    import public_tokenizers
-
     if vocabulary is None:
-        vocabulary, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+        vocabulary, ranks = tokenizer_files()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def window(ids: list, tokens: list[np.ndarray], first: int) -> tuple[pa.RecordBatch, int]:

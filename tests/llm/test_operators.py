@@ -554,6 +554,47 @@ def test_mix(spark):
     assert total / sum(map(size, got)) == pytest.approx(0.3, abs=0.06)
 
 
+def test_default_targets_are_flatter_and_met(spark):
+    sizes = {("src0", "en"): 500, ("src1", "en"): 120, ("src2", "de"): 120, ("src1", "de"): 60}
+    rows = [(1000 * n + k, prose(77 * n + k, 50), lang, src) for n, ((src, lang), m) in enumerate(sizes.items()) for k in range(m)]
+    got = mixing.mix(docs(spark, rows), None, 0.2).collect()
+    total, kept = sum(r["__tokens"] for r in got), sum(r["__tokens"] * r["__probability"] for r in got)
+    assert kept == pytest.approx(0.2 * total, rel=1e-6)
+    for name in ("source", "lang"):
+        have = {v: sum(r["__tokens"] for r in got if r[name] == v) / total for v in {r[name] for r in got}}
+        flat = {v: x**0.5 for v, x in have.items()}
+        for v in have:
+            assert sum(r["__tokens"] * r["__probability"] for r in got if r[name] == v) / kept == pytest.approx(flat[v] / sum(flat.values()), abs=1e-6)
+
+
+def test_topics_are_the_subjects(spark):
+    """Texts of three vocabularies fall into topics of one vocabulary each; every row has a topic, and the same one again."""
+    r, rows = random.Random(2), []
+    for k in range(300):
+        words = [f"s{k % 3}w{r.randrange(60)}" for _ in range(50)] + [f"common{r.randrange(20)}" for _ in range(30)]
+        r.shuffle(words)
+        rows.append((k, " ".join(words)))
+    d = docs(spark, rows + [(900, None), (901, " \n"), (902, "s1w5")], True)
+    model = mixing.fit(d, sample=150, topics=3)
+    got = {x.row: x.topic for x in mixing.labelled(d, model, mixing.F.col("doc_id"), 1).collect()}
+    assert got[900] == got[901] == "none"
+    kinds = [{got[k] for k in range(300) if k % 3 == s} for s in range(3)]
+    assert all(len(x) == 1 for x in kinds) and len(set.union(*kinds)) == 3
+    again = mixing.fit(d, sample=150, topics=3)
+    assert np.array_equal(model.centres, again.centres) and 0.1 < model.ratio < 1
+
+
+def test_clusters_are_fixed_points():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = mixing.cluster(x, 5, 500)
+    at = np.array([max(range(5), key=lambda k: float(row @ c[k])) for row in x])
+    for k in range(5):
+        mean = x[at == k].sum(axis=0)
+        assert np.allclose(c[k], mean / np.linalg.norm(mean), atol=1e-4)
+
+
 # -- all
 
 
