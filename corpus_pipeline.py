@@ -7,7 +7,6 @@ is written as Parquet in the shared folder and read again as the next one's docu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from recordloom.llm import exact_dedup, mixing, packing, quality, simhash
 from recordloom.llm.common import fresh_path, materialize, table
@@ -20,18 +19,20 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the largest id stays."""
-    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "digest-index"))
-    return exact_dedup.keep_first(docs, index, "corpus")
+    index = exact_dedup.DigestIndex.for_rows(spark, fresh_path(spark, "digest-index"), docs.count())
+    kept = exact_dedup.keep_first(docs, index, "corpus")
+    index.forget()
+    return kept
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the smallest id stays."""
-    return simhash.keep_representatives(docs)
+    """Of each group of near copies (by fingerprints, and a similarity of 0.8 of five-word shingles), the smallest id stays."""
+    return simhash.keep_dissimilar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample by probabilities raked to the source, language and topic targets."""
-    return mixing.mix(docs).where(F.col("__kept")).select(*docs.columns)
+    return mixing.keep_sample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
