@@ -134,17 +134,19 @@ def test_chat_collapse(spark):
     assert got[2].rendered == "<|user|>\nhi\n<|assistant|>\nhello\n<|user|>\nmore\n<|assistant|>\n\n"
 
 
-def test_chat_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [8192, 3])
+def test_chat_blocks(spark, monkeypatch, hot):
     monkeypatch.setattr(chat_format, "BLOCK_BITS", 2)
+    monkeypatch.setattr(chat_format, "HOT_BLOCK", hot)
     r = random.Random(5)
     long = [("user", prose(k, 3)) for k in range(40)]
     convs = {k: long[: r.choice([40, 40, 17, 5, 4, 1])] for k in range(30)}
     convs |= {100: long[:20] + long[21:], 101: long[1:], 102: long[:8] + long[7:]}
     numbers = {k: sorted([None] * (k % 3) + r.sample(range(-9, 99), len(x)), key=lambda n: (n is not None, n))[: len(x)] for k, x in convs.items()}
     texts = {k: [(n, *x) for n, x in zip(numbers[k], xs, strict=True)] for k, xs in convs.items()}
-    for k, xs in texts.items():  # turns without a number come in the order of their hash
-        none = sorted((x for x in xs if x[0] is None), key=lambda x: (x[1], hashlib.sha256(f"4:user{len(x[2])}:{x[2]}".encode()).hexdigest()))
-        texts[k] = none + xs[len(none) :]
+    texts |= {200: [(5, *x) for x in long], 201: [(None, *x) for x in long[:30]], 202: [(5, *x) for x in long[:9]] + [(6, *x) for x in long[9:]]}
+    for k, xs in texts.items():  # turns of one number come in the order of their hash
+        texts[k] = sorted(xs, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256(f"4:user{len(x[2])}:{x[2]}".encode()).hexdigest()))
     lists = {k: tuple(x[1:] for x in xs) for k, xs in texts.items()}
     prefixes = {x[:k] for x in lists.values() for k in range(1, len(x))}
     want = {}
