@@ -170,8 +170,10 @@ def batch(spark: SparkSession, source: str, output: str, dictionaries: list[str]
 
 
 def audit_source(spark: SparkSession, source: str, output: str, dictionaries: list[str], overwrite: bool) -> dict[str, Any]:
-    """Identifiers and relations of the clean, tracked corpus: report.json, report.md and the relations as JSON lines."""
-    names = [os.path.join(output, x) for x in ("report.json", "report.md", "relations")]
+    """Identifiers and relations of the clean, tracked corpus: report.json, report.md, and as JSON lines, in full, what the
+    report shows the first of or none: relations, entities, cycle groups, relation types."""
+    parts = ["relations", "entities", "cycles", "types"]
+    names = [os.path.join(output, x) for x in ("report.json", "report.md", *parts)]
     if not overwrite and any(map(os.path.exists, names)):
         raise AppError("output exists", f"{output} holds a report")
     guarded("catalog", lambda: catalog.require_clean(source, dictionaries))
@@ -182,7 +184,8 @@ def audit_source(spark: SparkSession, source: str, output: str, dictionaries: li
     value = source_audit.report(frames, commit)
     source_audit.write_whole(names[0], source_audit.to_json(value), overwrite)
     source_audit.write_whole(names[1], source_audit.to_markdown(value), overwrite)
-    frames["relations"].write.mode("overwrite" if overwrite else "errorifexists").json(f"file://{names[2]}")
+    for part, path in zip(parts, names[2:], strict=True):
+        frames[part].write.mode("overwrite" if overwrite else "errorifexists").json(f"file://{path}")
     return {"status": "audited", "commit": commit, "entries": sum(r["entries"] for r in value["entry_counts"]), "relations": sum(r["relations"] for r in value["statuses"]), "cycles": value["cycles"]["groups"], "report": names[0]}
 
 

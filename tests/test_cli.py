@@ -66,6 +66,9 @@ def test_source_audit(spark, corpus, tmp_path, capsys):
     assert {r["dictionary"]: (r["resolved"], r["self_reference"]) for r in value["statuses"]} == {"krdict": (2, 0), "stdict": (0, 1)}
     assert (value["cycles"]["groups"], value["cycles"]["relation_edges"]) == (1, 2)
     assert sum(r.in_cycle for r in spark.read.json(f"file://{out}/relations").collect()) == 2
+    written = {x: spark.read.json(f"file://{out}/{x}") for x in ("entities", "cycles", "types")}
+    assert written["cycles"].first().relation_edges == 2 and written["types"].count() == value["type_count"]
+    assert written["entities"].where("entity_kind = 'entry'").count() == 4
     assert (out / "report.md").read_text().count("\n## ") == 8
     assert cli.main(words, spark) == 3 and "KDEP-E008" in capsys.readouterr().err
     (corpus / "stdict" / "001.xml").write_bytes(ST + b"\n")
