@@ -645,7 +645,14 @@ def test_pipeline_stages(spark):
         seen.append({r.doc_id for r in now.collect()})
     assert all(b <= a for a, b in zip(seen, seen[1:], strict=False))
     assert len(seen[1] & set(range(300))) == 300 and len(seen[1] & set(range(300, 400))) < 5
-    assert not seen[2] & {0, 1, 2} or not seen[1] & {400, 401, 402}
+    texts, groups = {r[0]: r[1] for r in good + bad + same}, {}
+    for k in seen[1]:
+        groups.setdefault(texts[k].lower(), []).append(k)
+    assert seen[2] == {max(g) for g in groups.values()} and {400, 401, 402} <= seen[2] and len(seen[2]) < len(seen[1])
+    brute = {k: shingles(texts[k]) for k in seen[2]}
+    near = {b for a in brute for b in brute if a < b and len(brute[a] & brute[b]) >= 0.8 * len(brute[a] | brute[b])}
+    assert seen[3] == seen[2] - near
+    assert seen[4] < seen[3] and len(seen[4]) > len(seen[3]) // 2
     pieces = corpus_pipeline.STAGES[-1][1](spark, now, path).collect()
     assert {r.doc_id for r in pieces} == seen[4]
 
