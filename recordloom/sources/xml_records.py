@@ -154,23 +154,26 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], RECORD.names)
 
 
-def scan(files: DataFrame, strict: bool = True) -> DataFrame:
-    """Records of files (relative_path string, content binary)."""
+def scan(files: DataFrame, strict: bool = True, whole: bool = True) -> DataFrame:
+    """Records of files (relative_path string, content binary). Where strict isn't set, a malformed file's row of kind
+    "error" is its only one, or with whole unset follows the records ahead of the error (files are parsed once then)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("relative_path").to_pylist(), batch.column("content"), strict=True):
                 data = content.as_buffer().to_pybytes()
+                sent = 0
                 try:
-                    if not strict:  # a malformed file has no record but its error
+                    if not strict and whole:  # a malformed file has no record but its error
                         for _ in parse(data):
                             pass
                     records = ((path, n, *r) for n, r in enumerate(parse(data)))
                     while rows := list(itertools.islice(records, 8192)):
+                        sent += len(rows)
                         yield _batch(rows)
                 except SourceError as e:
                     if strict:
                         raise SourceError(f"{path}: {e}") from e
-                    yield _batch([(path, 0, "error", 0, None, str(e), [], None, [])])
+                    yield _batch([(path, sent, "error", 0, None, str(e), [], None, [])])
 
     return files.select("relative_path", "content").mapInArrow(run, RECORD)

@@ -157,19 +157,101 @@ def test_restore_is_the_inverse(spark):
             spark.createDataFrame([(broken,)], "v string").select(C.restore("v")).collect()
 
 
+GOOD = KR.replace(b"<LexicalEntry/>", b"")
+
+
 def test_store_life_cycle(spark, tmp_path):
-    good = KR.replace(b"<LexicalEntry/>", b"")
-    some = files(spark, **{"krdict/1.xml": good, "stdict/1.xml": ST})
-    s = store.Store(spark, f"file://{tmp_path}/store", "0" * 40)
+    some = files(spark, **{"krdict/1.xml": GOOD, "stdict/1.xml": ST})
+    root, commit = f"file://{tmp_path}/store", "0" * 40
+    s = store.Store.begin(spark, root, commit)
     assert s.add(some.where("relative_path LIKE 'krdict%'")).count() == 1
-    with pytest.raises(ValueError, match="pending"):
+    with pytest.raises(store.StoreError, match="pending"):
+        s.finalize(some)
+    with pytest.raises(store.StoreError, match="exists"):
+        store.Store.begin(spark, root, commit)
+    with pytest.raises(store.StoreError, match="another commit"):
+        store.Store.begin(spark, root, "1" * 40, "resume")
+    with pytest.raises(store.StoreError, match="no store"):
+        store.Store.begin(spark, f"file://{tmp_path}/none", commit, "rebuild")
+    s = store.Store.begin(spark, root, commit, "resume")
+    before = {r.relative_path: r.batch for r in s.table("source_file").collect()}
+    held = os.listdir(f"{tmp_path}/store/source_record")
+    assert s.add(some).count() == 2
+    assert {r.relative_path: r.batch for r in s.table("source_file").collect()}.items() > before.items()
+    assert set(os.listdir(f"{tmp_path}/store/source_record")) > set(held)
+    written = os.listdir(f"{tmp_path}/store/source_record")
+    assert s.add(some).count() == 2 and os.listdir(f"{tmp_path}/store/source_record") == written
+    with pytest.raises(store.StoreError, match="aren't those that were imported"):
+        s.add(files(spark, **{"krdict/1.xml": GOOD + b"\n"}))
+    assert s.finalize(some) == {"commit": commit, "state": "ready", "source_files": 2, "entries": 3}
+    assert s.descriptor()["state"] == "ready"
+    for again in (lambda: s.add(some), lambda: store.Store.begin(spark, root, commit, "resume")):
+        with pytest.raises(store.StoreError, match="ready already"):
+            again()
+
+
+def test_store_takes_whole_files_only(spark, tmp_path):
+    """Faulty files are named and leave no row; the others of their batch are in."""
+    entry = b"<LexicalEntry att='id' val='%d'><Lemma><feat att='writtenForm' val='w'/></Lemma></LexicalEntry>"
+    bad = {
+        "krdict/2.xml": (b"<r><LexicalEntry><Lemma/></LexicalEntry></r>", "no key"),
+        "krdict/3.xml": (b"<r><LexicalEntry/></r>", "an empty entry"),
+        "krdict/4.xml": (b"<r>" + entry.replace(b"<Lemma>", b"<Lemma><LexicalEntry></LexicalEntry>") % 1 + b"</r>", "within an entry"),
+        "krdict/5.xml": (b"<r>" + entry % 1, "malformed"),
+        "krdict/6.xml": (b"<r>" + entry % 1 + entry % 1 + b"</r>", "one key"),
+    }
+    s = store.Store.begin(spark, f"file://{tmp_path}/store", "a" * 40)
+    with pytest.raises(store.StoreError) as e:
+        s.add(files(spark, **{"krdict/1.xml": GOOD, **{k: v for k, (v, _) in bad.items()}}))
+    told = dict(x.split(": ", 1) for x in str(e.value).split("; "))
+    assert sorted(told) == sorted(bad)
+    for name, (_, fault) in bad.items():
+        assert fault in told[name]
+    for name in store.TABLES:
+        assert {r.relative_path for r in s.table(name).select("relative_path").distinct().collect()} == {"krdict/1.xml"}, name
+    assert s.checks().where("violations > 0").isEmpty()
+    # a run that is lost ahead of its last write leaves rows that nobody sees, and the next takes its files again
+    whole = s.table("entity").count()
+    os.rename(f"{tmp_path}/store/source_file", f"{tmp_path}/lost")
+    assert s.table("entity").isEmpty() and s.add(files(spark, **{"krdict/1.xml": GOOD})).count() == 1
+    assert s.table("entity").count() == whole
+
+
+def test_store_checks_find_damage(spark, tmp_path):
+    s = store.Store.begin(spark, f"file://{tmp_path}/store", "a" * 40)
+    some = files(spark, **{"krdict/1.xml": GOOD, "stdict/1.xml": ST})
+    s.add(some)
+    batch = s.table("source_file").first().batch
+    rows = spark.createDataFrame([("other/id", "krdict", "entry", "k", "krdict/1.xml", 99, "l", None), ("other/id", "krdict", "word", "k2", "krdict/1.xml", 99, "l", "x")], store.TABLES["entity"])
+    rows.write.mode("append").parquet(f"{s.root}/entity/batch={batch}")
+    spark.createDataFrame([("krdict/1.xml", 98, "", "1")], store.TABLES["entry_projection"]).write.mode("append").parquet(f"{s.root}/entry_projection/batch={batch}")
+    got = {r.constraint: r.violations for r in s.checks(some).where("violations > 0").collect()}
+    assert got == {"entity.id": 2, "entity.kind": 1, "entity.unique(canonical_id)": 1, "entity.unique(locator)": 1, "entry_projection.headword": 1, "projection_of_entry": 1, "source_file.sums": 1}
+    with pytest.raises(store.StoreError, match="entity.id: 2"):
         s.finalize(some)
-    before = os.path.getmtime(f"{tmp_path}/store/source_record/file=krdict%2F1.xml")
-    assert s.add(some).count() == 2 and os.path.getmtime(f"{tmp_path}/store/source_record/file=krdict%2F1.xml") == before
-    assert s.finalize(some) == {"commit": "0" * 40, "state": "ready", "source_files": 2, "entries": 3}
-    with pytest.raises(ValueError, match="no key"):
-        s.add(files(spark, **{"krdict/2.xml": b"<r><LexicalEntry><Lemma/></LexicalEntry></r>"}))
-    assert s.completed().count() == 2
+
+
+def test_store_rebuild_takes_the_old_place_when_ready(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    one, two = files(spark, **{"krdict/1.xml": GOOD}), files(spark, **{"stdict/1.xml": ST})
+    s = store.Store.begin(spark, root, "a" * 40)
+    s.add(one)
+    s.finalize(one)
+    left = store.Store.begin(spark, root, "b" * 40, "rebuild")
+    left.add(two)
+    assert store.Store(spark, root, "a" * 40).descriptor()["source_files"] == 1
+    with pytest.raises(store.StoreError, match="another rebuild"):
+        store.Store.begin(spark, root, "b" * 40, "rebuild")
+    left.abandon()
+    new = store.Store.begin(spark, root, "b" * 40, "rebuild")
+    new.add(two)
+    with pytest.raises(store.StoreError, match="pending"):
+        new.finalize(one.union(two))
+    new.finalize(two)
+    assert os.listdir(tmp_path) == ["store"]
+    assert [r.relative_path for r in store.Store(spark, root, "b" * 40).completed().collect()] == ["stdict/1.xml"]
+    with pytest.raises(store.StoreError, match="another commit"):
+        store.Store(spark, root, "a" * 40).descriptor()
 
 
 def test_catalog(spark, tmp_path):
