@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import columns as C
 from recordloom.operators import batch, book, digest, entities, graph, profiles, relations, store
+from recordloom.session import cut, scratch
 from recordloom.sources import catalog, xml_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -637,6 +638,31 @@ def schema_fingerprint(spark, d):
     return digest.schema_fingerprint(objects, C.FINGERPRINT_PREAMBLE)
 
 
+def built_store(spark: SparkSession, d: str) -> store.Store:
+    """A store of the customers' files, imported and ready, in the shared folder."""
+    files = cut(customer_files(spark, d), "files")
+    made = store.Store.begin(spark, scratch(spark, "store"), COMMIT)
+    made.add(files)
+    made.finalize(files)
+    return made
+
+
+@query(f"""WITH {CUSTOMER_EVENTS} SELECT relative_path, count(*) AS records, count(*) FILTER (qname = 'LexicalEntry' AND kind = 'start_element') AS entries, sum(CASE attrs WHEN '' THEN 0 ELSE 2 END)::BIGINT AS attributes FROM ev GROUP BY relative_path""")
+def store_import(spark, d):
+    """Rows of a store that an import made: its files with their records, entries and attributes."""
+    made = built_store(spark, d)
+    attributes = made.table("source_attribute").groupBy("relative_path").agg(F.count(F.lit(1)).alias("attributes"))
+    return made.completed().join(attributes, "relative_path", "left").select("relative_path", "records", "entries", F.coalesce("attributes", F.lit(0).cast("bigint")).alias("attributes"))
+
+
+@query(f"""WITH c AS (SELECT 'krdict/' || lpad((c_custkey // 500)::VARCHAR, 6, '0') || '.xml' AS relative_path, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) AS entry_ordinal, * FROM customer)
+SELECT 'kweb:v1/{COMMIT}/krdict/entry/' || c_custkey AS canonical_id, c_custkey::VARCHAR AS native_key, relative_path, entry_ordinal, c_name AS headword, c_nationkey::VARCHAR AS homonym FROM c""")
+def store_entries(spark, d):
+    """Entries of a store with what its projection says of them."""
+    made = built_store(spark, d)
+    return made.table("entity").join(made.table("entry_projection"), ["relative_path", "entry_ordinal"]).select("canonical_id", "native_key", "relative_path", "entry_ordinal", "headword", "homonym")
+
+
 @query()
 def strict_xml_quarantine(spark, d):
     """Raw web pages are no XML: each that isn't well-formed is one row of kind error."""
