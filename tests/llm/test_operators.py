@@ -379,6 +379,40 @@ def test_passages_behind_holders_of_a_part(spark):
     assert all(x.identity >= 0.8 and x.n_words >= 50 for x in got)
 
 
+def test_passages_whose_seeds_others_hold_in_pieces(spark):
+    """Two documents share fifty words, some changed; others, before and between them, hold both halves of the unchanged words, so that
+    neither the first nor the last holder of any seed is the other one, and the two don't share the same seeds with all."""
+    rows, want = [], set()
+    for k, every in enumerate([0, 12, 9, 8, 7, 6]):
+        passage, base = own_words(f"p{k}x", 50), 100 * k
+        changed = [w if not every or j % every != every - 1 else f"other{k}x{j}" for j, w in enumerate(passage)]
+        halves = [passage[:25], passage[25:], passage[13:38]]
+        for j, w in enumerate([*halves, passage, *halves, changed, *halves]):
+            rows.append((base + j, " ".join(own_words(f"a{k}x{j}x", 60) + w + own_words(f"b{k}x{j}x", 60))))
+        want.add((base + 7, base + 3))
+    got = substring_dedup.passages(docs(spark, rows, True)).collect()
+    assert want == {(x.doc_id, x.other_id) for x in got}
+    assert all(x.identity >= 0.8 and x.n_words >= 50 for x in got)
+
+
+def test_every_pair_of_holders_is_compared():
+    """A line that many documents hold, and passages around it that two of them share, found as by brute force."""
+    r = random.Random(5)
+    line, spots, texts = own_words("line", 9), [], []
+    for k in range(120):
+        texts.append(own_words(f"a{k}x", 60) + line + own_words(f"b{k}x", 60))
+    for a, b in [(3, 70), (10, 110), (55, 56), (71, 119)]:
+        for j in r.sample([j for j in range(40, 95) if not 60 <= j < 69], 38):
+            texts[b][j] = texts[a][j]
+    seeds = [substring_dedup.word_seeds([w.encode() for w in t]) for t in texts]
+    held = [(int(h[x]), d, x) for d, h in enumerate(seeds) for x in range(60, 65)]
+    context = np.stack([substring_dedup.contexts([w.encode() for w in texts[d]], np.array([x]))[0] for _, d, x in held])
+    seed, doc, pos = (np.array(c, dtype=t) for c, t in zip(zip(*held, strict=True), ("u8", "i8", "i4"), strict=True))
+    got = substring_dedup.compare(seed, doc, pos, np.ones(len(doc), dtype=bool), context)
+    want = {(b, a) for a in range(120) for b in range(a + 1, 120) if max(sum(texts[a][j] == texts[b][j] for j in range(at, at + 50)) for at in range(15, 65)) >= 40}
+    assert {(3, 70), (10, 110), (55, 56)} <= {(a, b) for b, a in want} and want == set(zip(got[0].tolist(), got[1].tolist(), strict=True))
+
+
 def test_passage_held_twice_is_reported_twice(spark):
     passage, part = own_words("p", 60), own_words("p", 60)[:35]
     texts = [own_words("a", 80) + passage + own_words("b", 40), own_words("c", 30) + passage + own_words("d", 70) + passage + own_words("e", 10)]
