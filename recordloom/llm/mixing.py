@@ -7,9 +7,9 @@ tokens; a value that has fewer tokens than its share asks for gives all it has,
 in what is missing. A document stays if a hash of its id and text, as a number in [0, 1), is below its cell's probability.
 
 Topics come from a small model: words are hashed to DIMS numbers, weighted by how few documents have them, and spherical
-k-means finds TOPICS centres on SAMPLE documents at most, those of the least hash of their id; every document gets the
-topic of its nearest centre from its whole text. Tokens are estimated: the bytes of a text times the tokens a byte that the
-tokenizer gives in the sample, for each language of the targets (and one number for all others).
+k-means finds TOPICS centres over all documents, in a pass a round; every document gets the topic of its nearest centre from its
+whole text. Tokens are counted by the tokenizer. Both take one pass over the texts, which writes each document's counts; the
+model's passes read these.
 
 The targets name the values of each dimension; all other values, null among them, are one value "*" that keeps its own
 share unless it is named. So there are at most (named + 1) values a dimension, and the table of cells, which goes to the
@@ -23,9 +23,10 @@ empty result. Other columns of docs are kept as they are; the new ones get a "_"
 
 from __future__ import annotations
 
+import struct
 import warnings
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from .packing import encode, tokenizer_files
 from .substring_dedup import split_words
 
 DIMENSIONS = ("source", "lang", "topic")
-SAMPLE, DIMS, TOPICS, NAMED, EVEN = 2000, 1024, 8, {"source": 64, "lang": 16, "topic": 64}, 0.5
+DIMS, TOPICS, NAMED, EVEN = 1024, 8, {"source": 64, "lang": 16, "topic": 64}, 0.5
 _SLOTS: dict[bytes, int] = {}
 
 
@@ -52,24 +53,43 @@ def word_counts(text: str | None, dims: int = DIMS) -> np.ndarray:
     return np.bincount(np.fromiter(map(_SLOTS.__getitem__, words), dtype=np.int64, count=len(words)), minlength=dims).astype(np.float32)
 
 
+#: A document's counts: its slots that have any.
+COUNTS = np.dtype([("slot", "<u2"), ("n", "<u4")])
+
+
+def sparse(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of all rows one after the other, and where each row's begin."""
+    data = [x.as_buffer() for x in column]
+    return np.frombuffer(b"".join(data), dtype=COUNTS), np.cumsum([0, *(len(x) // COUNTS.itemsize for x in data)])
+
+
 @dataclass
 class Model:
-    """weight of each slot; a row a topic; tokens a byte by language, and of all."""
+    """weight of each slot; a row a topic; tokens a byte of all rows."""
 
     weight: np.ndarray
     centres: np.ndarray
     ratio: float = 0.25
-    ratios: dict[str, float] = field(default_factory=dict)
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weight
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    def values(self, counts: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The entries of each row's unit vector; no row is empty."""
+        v = np.log1p(counts["n"].astype(np.float32)) * self.weight[counts["slot"]]
+        norm = np.sqrt(np.add.reduceat(v * v, cuts[:-1])) if len(v) else v
+        return v / np.repeat(np.maximum(norm, 1e-9), np.diff(cuts))
+
+    def likeness(self, counts: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """A row a document that has words, a column a centre."""
+        return np.stack([np.add.reduceat(values * c[counts["slot"]], cuts[:-1]) for c in self.centres], axis=1)
 
-    def topics(self, counts: np.ndarray) -> list[str]:
-        if not len(self.centres):
-            return ["none"] * len(counts)
-        best = (self.vectors(counts) @ self.centres.T).argmax(axis=1)
-        return [f"topic{k}" if some else "none" for k, some in zip(best.tolist(), counts.any(axis=1).tolist(), strict=True)]
+    def topics(self, column: pa.Array) -> list[str]:
+        counts, cuts = sparse(column)
+        some = np.flatnonzero(np.diff(cuts))
+        out = ["none"] * len(column)
+        if len(some) and len(self.centres):
+            cuts = np.append(cuts[some], len(counts))
+            for k, c in zip(some.tolist(), self.likeness(counts, cuts, self.values(counts, cuts)).argmax(axis=1).tolist(), strict=True):
+                out[k] = f"topic{c}"
+        return out
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
@@ -92,57 +112,129 @@ def cluster(x: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
     return centres[np.argsort(-sizes, kind="stable")]
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, topics: int = TOPICS, dims: int = DIMS) -> Model:
-    """The model of a sample: dims counts, bytes and tokens of each document come to the driver, no texts."""
-    chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample)
+def counted(docs: DataFrame, row: Column, seed: int, dims: int = DIMS) -> DataFrame:
+    """row, source, lang, u (a number in [0, 1) by id and text), counts, bytes, tokens of each row of docs, as a table."""
+    u = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
     vocabulary, ranks = tokenizer_files()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(2).to_pylist()]
-            counts = [word_counts(t, dims) for t in texts]
-            held = [[pa.scalar(c.tobytes(), pa.binary()) for c in counts], [len(t.encode("utf-8", "surrogatepass")) for t in texts], [len(e) for e in encode(texts, vocabulary, ranks)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(h, t) for h, t in zip(held, (pa.binary(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "lang", "counts", "bytes", "tokens"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
-    found = rows.mapInArrow(run, f"doc_id {id_type}, lang string, counts binary, bytes bigint, tokens bigint")
-    one = found.groupBy("doc_id").agg(F.min(F.struct("lang", "counts", "bytes", "tokens")).alias("r")).orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id")
-    got = one.select("r.*").toArrow()
-    if not got.num_rows:
-        return Model(np.zeros(dims, dtype=np.float32), np.zeros((0, dims), dtype=np.float32))
-    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), dtype=np.float32).reshape(-1, dims)
-    having = (counts > 0).sum(axis=0)
-    model = Model(np.log((1 + len(counts)) / (1 + having)).astype(np.float32), np.zeros((0, dims), dtype=np.float32))
-    filled = counts[counts.any(axis=1)]
-    if len(filled):
-        model.centres = cluster(model.vectors(filled), topics).astype(np.float32)
-    size, long = got.column("tokens").to_numpy(), got.column("bytes").to_numpy()
-    if long.sum():
-        model.ratio = float(size.sum() / long.sum())
-        langs = np.array([x or "" for x in got.column("lang").to_pylist()])
-        # a language of few sampled bytes leans on the number of all
-        model.ratios = {x: float((size[langs == x].sum() + 20_000 * model.ratio) / (long[langs == x].sum() + 20_000)) for x in sorted(set(langs.tolist()))[:1000]}
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                held = []
+                for t in texts:
+                    n = word_counts(t, dims)
+                    at = np.flatnonzero(n)
+                    one = np.empty(len(at), dtype=COUNTS)
+                    one["slot"], one["n"] = at, n[at]
+                    held.append(one.tobytes())
+                tokens = [max(1, len(e)) for e in encode(texts, vocabulary, ranks)]
+                own = [part.column(c) for c in ("row", "source", "lang", "u")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(held, pa.binary()), part.column("bytes"), pa.array(tokens, pa.int64())], ["row", "source", "lang", "u", "counts", "bytes", "tokens"])
+
+    text = [F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")]
+    rows = docs.select(row.alias("row"), *text, F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("bigint").alias("bytes"), u.alias("u"))
+    return materialize(rows.mapInArrow(run, f"row {kind}, source string, lang string, u double, counts binary, bytes bigint, tokens bigint"), "counted")
+
+
+def fit(docs: DataFrame, sample: int | None = None, topics: int = TOPICS, dims: int = DIMS) -> Model:
+    """The model of all rows; sample: of so many documents, those of the least hash of their id."""
+    if sample is not None:
+        chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample)
+        docs = docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+    return fit_counted(counted(docs, F.col("doc_id"), 0, dims), topics, dims)
+
+
+def fit_counted(rows: DataFrame, topics: int = TOPICS, dims: int = DIMS, rounds: int = 30) -> Model:
+    """The model of all rows of counted(): cluster() with each pass over the rows as a job. The driver gets sums, a row a task."""
+    filled = rows.select("counts").where(F.octet_length("counts") > 0)
+
+    def passed(work: Callable, schema: str) -> list:
+        """What work makes of a task's rows: of what it made so far, some rows' counts and where each row's begin."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1024):
+                    total = work(total, *sparse(batch.column(0).slice(k, 1024)))
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in total], ["a", "b"])
+
+        return filled.mapInArrow(run, schema).collect()
+
+    pair = "a binary, b binary"
+
+    def having(total, counts, cuts):
+        n = np.bincount(counts["slot"], minlength=dims)
+        return [(n + (0 if total is None else np.frombuffer(total[0], dtype=np.int64))).astype(np.int64).tobytes(), b""]
+
+    size = rows.agg(F.count(F.lit(1)), F.sum("bytes"), F.sum(F.when(F.col("bytes") > 0, F.col("tokens")))).first()
+    have = sum((np.frombuffer(r.a, dtype=np.int64) for r in passed(having, pair)), np.zeros(dims, dtype=np.int64))
+    model = Model(np.log((1 + size[0]) / (1 + have)).astype(np.float32), np.zeros((0, dims), dtype=np.float32))
+    if size[1]:
+        model.ratio = size[2] / size[1]
+
+    def vector(data: bytes) -> np.ndarray:
+        counts = np.frombuffer(data, dtype=COUNTS)
+        out = np.zeros(dims, dtype=np.float32)
+        out[counts["slot"]] = model.values(counts, np.array([0, len(counts)]))
+        return out
+
+    def least(total, counts, cuts):
+        like = model.likeness(counts, cuts, model.values(counts, cuts)).max(axis=1)
+        at = int(like.argmin())
+        mine = [struct.pack("<d", float(like[at])), counts[cuts[at] : cuts[at + 1]].tobytes()]
+        return mine if total is None else min(total, mine, key=lambda t: (struct.unpack("<d", t[0])[0], t[1]))
+
+    def sums(total, counts, cuts):
+        values = model.values(counts, cuts)
+        at = model.likeness(counts, cuts, values).argmax(axis=1)
+        slot = counts["slot"] + np.repeat(at, np.diff(cuts)) * dims
+        mine = [np.bincount(slot, weights=values, minlength=len(model.centres) * dims), np.bincount(at, minlength=len(model.centres)).astype(np.float64)]
+        return [(m + (0 if total is None else np.frombuffer(total[k], dtype=np.float64))).tobytes() for k, m in enumerate(mine)]
+
+    first = filled.orderBy(F.xxhash64(F.lit(13), "counts"), "counts").limit(1).collect()
+    if not first:
+        return model
+    model.centres = vector(bytes(first[0][0]))[None]
+    while len(model.centres) < topics:
+        like, data = min((struct.unpack("<d", r.a)[0], bytes(r.b)) for r in passed(least, pair))
+        if like > 1 - 1e-6:
+            break
+        model.centres = np.concatenate([model.centres, vector(data)[None]])
+    for _ in range(rounds):
+        got = passed(sums, pair)
+        total = sum(np.frombuffer(r.a, dtype=np.float64) for r in got).reshape(len(model.centres), dims)
+        sizes = sum(np.frombuffer(r.b, dtype=np.float64) for r in got)
+        new = np.where(sizes[:, None] > 0, total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9), model.centres)
+        moved = float(np.abs(new - model.centres).max())
+        model.centres = new.astype(np.float32)
+        if moved <= 1e-6:
+            break
+    else:
+        warnings.warn(f"after {rounds} rounds the topics' centres still moved by {moved:.2g}", stacklevel=2)
+    model.centres = model.centres[np.argsort(-sizes, kind="stable")]
     return model
 
 
 def labelled(docs: DataFrame, model: Model, row: Column, seed: int) -> DataFrame:
     """row, source, lang, topic, tokens, u (a number in [0, 1) by id and text) of each row of docs."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
+    return label(counted(docs, row, seed, len(model.weight)), model)
+
+
+def label(rows: DataFrame, model: Model) -> DataFrame:
+    """labelled() of the rows of counted()."""
+    names = ["row", "source", "lang", "topic", "tokens", "u"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                counts = np.stack([word_counts(t.as_py(), len(model.weight)) for t in part.column("text")])
-                ratio = np.array([model.ratios.get(x, model.ratio) for x in part.column("lang").to_pylist()])
-                size = np.maximum(1, np.ceil(part.column("bytes").to_numpy() * ratio - 1e-9)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "source", "lang")), pa.array(model.topics(counts), pa.string()), pa.array(size), part.column("u")], ["row", "source", "lang", "topic", "tokens", "u"])
+            topics = pa.array(model.topics(batch.column("counts")), pa.string())
+            yield pa.RecordBatch.from_arrays([topics if n == "topic" else batch.column(n) for n in names], names)
 
-    text = [F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")]
-    rows = docs.select(row.alias("row"), *text, F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("bigint").alias("bytes"), u.alias("u"))
-    return materialize(rows.mapInArrow(run, f"row {kind}, source string, lang string, topic string, tokens bigint, u double"), "labelled")
+    kind = rows.schema["row"].dataType.simpleString()
+    return materialize(rows.drop("bytes").mapInArrow(run, f"row {kind}, source string, lang string, topic string, tokens bigint, u double"), "labelled")
 
 
 def default_targets(rows: DataFrame, named: dict[str, int] | None = None, even: float = EVEN) -> dict:
@@ -247,7 +339,8 @@ def calibrate(rows: DataFrame, targets: dict, part: float = 0.7) -> list[tuple]:
 
 def _mixed(docs: DataFrame, row: Column, targets: dict | None, part: float, seed: int) -> DataFrame:
     """row, source, lang, topic (of its cell), tokens, weight, probability, kept."""
-    rows = labelled(docs, fit(docs), row, seed)
+    rows = counted(docs, row, seed)
+    rows = label(rows, fit_counted(rows))
     targets = targets or default_targets(rows)
     keys = [f"cell_{d}" for d in DIMENSIONS]
     known = docs.sparkSession.createDataFrame(calibrate(rows, targets, part), ", ".join(f"{k} string" for k in keys) + ", weight double, probability double")

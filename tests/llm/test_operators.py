@@ -620,6 +620,27 @@ def test_topics_are_the_subjects(spark):
     assert np.array_equal(model.centres, again.centres) and 0.1 < model.ratio < 1
 
 
+def test_model_and_tokens_are_of_all_rows(spark):
+    """2,600 documents: each slot's weight counts all of them, centres are the means of all that are nearest, tokens are the tokenizer's."""
+    r, rows = random.Random(8), []
+    for k in range(2600):
+        rows.append((k, " ".join([f"s{k % 3}w{r.randrange(40)}" for _ in range(12)] + ["x" * r.randrange(1, 60), "\u4f60\u597d" * (k % 4)])))
+    d = docs(spark, rows + [(9000, None), (9001, " ")])
+    model = mixing.fit(d, topics=3)
+    counts = np.stack([mixing.word_counts(t) for _, t in rows])
+    assert np.allclose(model.weight, np.log((1 + len(rows) + 2) / (1 + (counts > 0).sum(axis=0))), atol=1e-5)
+    x = np.log1p(counts) * model.weight
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = (x @ model.centres.T).argmax(axis=1)
+    for k in range(3):
+        mean = x[at == k].sum(axis=0)
+        assert np.allclose(model.centres[k], mean / np.linalg.norm(mean), atol=1e-4)
+    got = {g.row: g for g in mixing.labelled(d, model, mixing.F.col("doc_id"), 1).collect()}
+    ids = packing.encode([t for _, t in rows], packing.tokenizer_files()[0])
+    assert all(got[k].tokens == len(e) and got[k].topic == f"topic{c}" for k, (e, c) in enumerate(zip(ids, at, strict=True)))
+    assert got[9000].tokens == 1 and got[9000].topic == got[9001].topic == "none"
+
+
 def test_clusters_are_fixed_points():
     r = np.random.default_rng(3)
     x = r.normal(size=(200, 12))
