@@ -683,6 +683,21 @@ def test_queries_against_sql(spark):
         assert sorted(repr(tuple(r[k] for k in cols)) for r in got.collect()) == sorted(map(repr, want.select(*cols).fetchall())), name
 
 
+def test_pipeline_mixes_by_the_tokenizers_tokens(spark, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(k, prose(k, 5 + k % 40) + "\u4f60\u597d" * (k % 4), ("en", "de")[k % 2], f"src{k % 3}") for k in range(60)]
+    seen, calibrate = [], mixing.calibrate
+
+    def watched(labelled, *rest):
+        seen.extend((r.row.doc_id, r.tokens) for r in labelled.select("row", "tokens").collect())
+        return calibrate(labelled, *rest)
+
+    monkeypatch.setattr(mixing, "calibrate", watched)
+    corpus_pipeline.mix(spark, docs(spark, rows), "")
+    ids = packing.encode([x[1] for x in rows], packing.tokenizer_files()[0])
+    assert sorted(seen) == [(x[0], len(e)) for x, e in zip(rows, ids, strict=True)]
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     good = [(k, prose(k, 80) + ".", "en", f"src{k % 20}") for k in range(300)]
