@@ -1,6 +1,9 @@
 import datetime
+import glob
 import hashlib
+import os
 import random
+import tempfile
 import zlib
 
 import numpy as np
@@ -413,6 +416,52 @@ def test_every_pair_of_holders_is_compared():
     assert {(3, 70), (10, 110), (55, 56)} <= {(a, b) for b, a in want} and want == set(zip(got[0].tolist(), got[1].tolist(), strict=True))
 
 
+def test_runs_of_one_word_are_compared_once_a_diagonal(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{rng.integers(10**6)}" for _ in range(60)) + " the" * 30 + "".join(f" w{rng.integers(10**6)}" for _ in range(60))) for i in range(20)]
+    held = [(i, x) for i, t in rows for x in range(60, 86)]
+    doc, pos = (np.array(c) for c in zip(*held, strict=True))
+    words = {i: substring_dedup.split_words(t) for i, t in rows}
+    context = np.concatenate([substring_dedup.contexts(words[i], pos[doc == i]) for i, _ in rows])
+    sides = [np.concatenate(c) for c in zip(*(substring_dedup.run_sides(substring_dedup._word_hashes(words[i]), pos[doc == i]) for i, _ in rows), strict=True)]
+    seen, share = [], substring_dedup._may_share
+    monkeypatch.setattr(substring_dedup, "_may_share", lambda a, b, straight: seen.append(len(a)) or share(a, b, straight))
+    substring_dedup.compare(np.full(len(doc), 7, dtype=np.uint64), doc, pos.astype(np.int32), np.ones(len(doc), dtype=bool), context, *sides)
+    assert sum(seen) < 190 * 26 * 26 / 10  # of all pairs of places of two documents
+    runs = docs(spark, [(1, "a b c d e f " + "the " * 69 + "g h i j k l"), (2, "m n o p q r " + "the " * 148 + "s t u v w x"), (3, "the " * 30 + "y z " * 30)])
+    covered = {x for r in substring_dedup.passages(runs).collect() if r.doc_id == 2 for x in range(r.start_word, r.start_word + r.n_words)}
+    assert set(range(6, 154)) <= covered
+
+
+def test_passages_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/**/shuffle_*.data", recursive=True)
+        return {f for f in files if os.path.getsize(f) > 1000}  # without those of a sum
+
+    rng = np.random.default_rng(9)
+    line = " ".join(f"w{x}" for x in range(12))
+    rows = [(i, " ".join(f"v{rng.integers(3000)}" for _ in range(100)) + f" {line} " + " ".join(f"v{rng.integers(3000)}" for _ in range(100))) for i in range(40)]
+    rows += [(40 + i, f"{t} {i}") for i, (_, t) in enumerate(rows[:10])]
+    d = docs(spark, rows)
+    before = shuffled()
+    found = substring_dedup.passages(d)
+    assert not shuffled() - before
+    got = {(r.doc_id, r.start_word, r.n_words) for r in found.collect()}
+    assert {g[0] for g in got} == set(range(40, 50))
+    one, many = (substring_dedup.all_compared(places_of(d), 4, n).collect() for n in (1, 3))
+    assert matches_of(one) == matches_of(many) != set()
+
+
+def places_of(d):
+    texts = d.select("doc_id", "text")
+    first = substring_dedup.chains(substring_dedup.match_parcels(substring_dedup.seed_parcels(texts, 4), 4), True, 5)
+    return substring_dedup.worded(first.where("data IS NOT NULL").select("doc_id", "data"), texts)
+
+
+def matches_of(parcels):
+    return {m for r in parcels for m in zip(*(c.tolist() for c in substring_dedup.unpack_matches(r.data)), strict=True)}
+
+
 def test_passage_held_twice_is_reported_twice(spark):
     passage, part = own_words("p", 60), own_words("p", 60)[:35]
     texts = [own_words("a", 80) + passage + own_words("b", 40), own_words("c", 30) + passage + own_words("d", 70) + passage + own_words("e", 10)]
