@@ -40,7 +40,15 @@ from .substring_dedup import split_words
 
 DIMENSIONS = ("source", "lang", "topic")
 DIMS, TOPICS, NAMED, EVEN = 1024, 8, {"source": 64, "lang": 16, "topic": 64}, 0.5
-_SLOTS: dict[bytes, int] = {}
+
+
+class _Slots(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = slot = xxhash.xxh64_intdigest(word, 7)
+        return slot
+
+
+_SLOTS = _Slots()
 
 
 def word_counts(text: str | None, dims: int = DIMS) -> np.ndarray:
@@ -48,9 +56,8 @@ def word_counts(text: str | None, dims: int = DIMS) -> np.ndarray:
     if len(_SLOTS) > 150_000:
         _SLOTS.clear()
     words = split_words(text)
-    for x in set(words).difference(_SLOTS):
-        _SLOTS[x] = xxhash.xxh64_intdigest(x, 7) % dims
-    return np.bincount(np.fromiter(map(_SLOTS.__getitem__, words), dtype=np.int64, count=len(words)), minlength=dims).astype(np.float32)
+    slots = np.fromiter(map(_SLOTS.__getitem__, words), dtype=np.uint64, count=len(words)) % np.uint64(dims)
+    return np.bincount(slots.astype(np.int64), minlength=dims).astype(np.float32)
 
 
 #: A document's counts: its slots that have any.
@@ -58,9 +65,13 @@ COUNTS = np.dtype([("slot", "<u2"), ("n", "<u4")])
 
 
 def sparse(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The counts of all rows one after the other, and where each row's begin."""
-    data = [x.as_buffer() for x in column]
-    return np.frombuffer(b"".join(data), dtype=COUNTS), np.cumsum([0, *(len(x) // COUNTS.itemsize for x in data)])
+    """The counts of all rows one after the other, and where each row's begin. The rows' bytes aren't copied."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    counts = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]].view(COUNTS)
+    return counts, (ends - ends[0]) // COUNTS.itemsize
 
 
 @dataclass
@@ -77,9 +88,16 @@ class Model:
         norm = np.sqrt(np.add.reduceat(v * v, cuts[:-1])) if len(v) else v
         return v / np.repeat(np.maximum(norm, 1e-9), np.diff(cuts))
 
-    def likeness(self, counts: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    def vectors(self, counts: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """A unit row a document that has words."""
+        dims = len(self.weight)
+        out = np.zeros((len(cuts) - 1, dims), dtype=np.float32)
+        out.reshape(-1)[np.repeat(np.arange(len(out)) * dims, np.diff(cuts)) + counts["slot"]] = self.values(counts, cuts)
+        return out
+
+    def likeness(self, counts: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """A row a document that has words, a column a centre."""
-        return np.stack([np.add.reduceat(values * c[counts["slot"]], cuts[:-1]) for c in self.centres], axis=1)
+        return self.vectors(counts, cuts) @ self.centres.T
 
     def topics(self, column: pa.Array) -> list[str]:
         counts, cuts = sparse(column)
@@ -87,8 +105,10 @@ class Model:
         out = ["none"] * len(column)
         if len(some) and len(self.centres):
             cuts = np.append(cuts[some], len(counts))
-            for k, c in zip(some.tolist(), self.likeness(counts, cuts, self.values(counts, cuts)).argmax(axis=1).tolist(), strict=True):
-                out[k] = f"topic{c}"
+            for a in range(0, len(some), 1024):
+                b = cuts[a : a + 1025]
+                for k, c in zip(some[a : a + 1024].tolist(), self.likeness(counts[b[0] : b[-1]], b - b[0]).argmax(axis=1).tolist(), strict=True):
+                    out[k] = f"topic{c}"
         return out
 
 
@@ -178,21 +198,18 @@ def fit_counted(rows: DataFrame, topics: int = TOPICS, dims: int = DIMS, rounds:
 
     def vector(data: bytes) -> np.ndarray:
         counts = np.frombuffer(data, dtype=COUNTS)
-        out = np.zeros(dims, dtype=np.float32)
-        out[counts["slot"]] = model.values(counts, np.array([0, len(counts)]))
-        return out
+        return model.vectors(counts, np.array([0, len(counts)]))[0]
 
     def least(total, counts, cuts):
-        like = model.likeness(counts, cuts, model.values(counts, cuts)).max(axis=1)
+        like = model.likeness(counts, cuts).max(axis=1)
         at = int(like.argmin())
         mine = [struct.pack("<d", float(like[at])), counts[cuts[at] : cuts[at + 1]].tobytes()]
         return mine if total is None else min(total, mine, key=lambda t: (struct.unpack("<d", t[0])[0], t[1]))
 
     def sums(total, counts, cuts):
-        values = model.values(counts, cuts)
-        at = model.likeness(counts, cuts, values).argmax(axis=1)
-        slot = counts["slot"] + np.repeat(at, np.diff(cuts)) * dims
-        mine = [np.bincount(slot, weights=values, minlength=len(model.centres) * dims), np.bincount(at, minlength=len(model.centres)).astype(np.float64)]
+        x = model.vectors(counts, cuts)
+        mine_at = (x @ model.centres.T).argmax(axis=1)[:, None] == np.arange(len(model.centres))
+        mine = [(mine_at.T.astype(np.float32) @ x).astype(np.float64).ravel(), mine_at.sum(axis=0).astype(np.float64)]
         return [(m + (0 if total is None else np.frombuffer(total[k], dtype=np.float64))).tobytes() for k, m in enumerate(mine)]
 
     first = filled.orderBy(F.xxhash64(F.lit(13), "counts"), "counts").limit(1).collect()

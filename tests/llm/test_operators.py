@@ -690,6 +690,20 @@ def test_model_and_tokens_are_of_all_rows(spark):
     assert got[9000].tokens == 1 and got[9000].topic == got[9001].topic == "none"
 
 
+def test_counts_are_read_in_place():
+    rng = np.random.default_rng(4)
+    rows = [np.array([(x, rng.integers(1, 9)) for x in np.flatnonzero(rng.random(64) < 0.2)], dtype=mixing.COUNTS) for _ in range(40)]
+    column = mixing.pa.array([r.tobytes() for r in rows], mixing.pa.binary()).slice(7, 20)
+    counts, cuts = mixing.sparse(column)
+    assert np.shares_memory(counts, np.frombuffer(column.buffers()[2], dtype=np.uint8))
+    model = mixing.Model(rng.random(64).astype(np.float32), rng.random((3, 64)).astype(np.float32))
+    for k, r in enumerate(rows[7:27]):
+        assert (counts[cuts[k] : cuts[k + 1]] == r).all()
+        v = np.zeros(64)
+        v[r["slot"]] = np.log1p(r["n"]) * model.weight[r["slot"]]
+        assert np.allclose(model.likeness(r, np.array([0, len(r)]))[0], model.centres @ (v / np.linalg.norm(v)), atol=1e-5)
+
+
 def test_clusters_are_fixed_points():
     r = np.random.default_rng(3)
     x = r.normal(size=(200, 12))
