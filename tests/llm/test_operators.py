@@ -433,6 +433,56 @@ def test_runs_of_one_word_are_compared_once_a_diagonal(spark, monkeypatch):
     assert set(range(6, 154)) <= covered
 
 
+def places_around(texts, wanted):
+    """Columns of compare() of the places of each text that wanted gives, all of one seed and asked."""
+    words = [[w.encode() for w in t] for t in texts]
+    pos = [np.array(wanted(t), dtype=np.int32) for t in texts]
+    sides = [np.concatenate(c) for c in zip(*(substring_dedup.run_sides(substring_dedup._word_hashes(w), p) for w, p in zip(words, pos, strict=True)), strict=True)]
+    doc = np.repeat(np.arange(len(texts)), [len(p) for p in pos])
+    context = np.concatenate([substring_dedup.contexts(w, p) for w, p in zip(words, pos, strict=True)])
+    return np.full(len(doc), 7, dtype=np.uint64), doc, np.concatenate(pos), np.ones(len(doc), dtype=bool), context, *sides
+
+
+def test_a_line_of_many_documents_is_compared_where_rare_words_agree(monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [[f"v{x}" for x in np.where(rng.random(120) < 0.5, rng.integers(0, 30, 120), rng.integers(30, 9000, 120))] for _ in range(1500)]
+    for t in texts:
+        t[60:65] = own_words("line", 5)
+    pairs = [(3, 70), (10, 1400), (600, 601), (71, 1119)]
+    for a, b in pairs:
+        for j in [j for j in range(38, 84) if not 60 <= j < 65 and j % 8]:
+            texts[b][j] = texts[a][j]
+    places = places_around(texts, lambda t: [60])
+    seen, share = [], substring_dedup._may_share
+    monkeypatch.setattr(substring_dedup, "_may_share", lambda a, b, straight: seen.append(len(a)) or share(a, b, straight))
+    got = substring_dedup.compare(*places)
+    assert sum(seen) < 25_000  # of 1.1 million
+    assert {(b, a) for a, b in pairs} <= set(zip(got[0].tolist(), got[1].tolist(), strict=True))
+    monkeypatch.setattr(substring_dedup, "WIDE", 10**9)
+    assert matches_in(got) == matches_in(substring_dedup.compare(*places))
+
+
+def test_pairs_by_rare_words_are_those_of_all_places(monkeypatch):
+    """Runs of one word and near copies, in batches of several groups and in one."""
+    r = random.Random(13)
+    texts = []
+    for k in range(60):
+        t = own_words(f"a{k % 40}x", 50) + ["the"] * r.choice([9, 20, 33, 45, 70]) + own_words(f"b{k % 40}x", r.randrange(60))
+        texts.append([w if r.random() < 0.95 else f"c{k}" for w in t] if k >= 40 else t)
+    seed, doc, *rest = places_around(texts, lambda t: [x for x in range(len(t) - 4) if t[x : x + 5] == ["the"] * 5])
+    for seeds in (seed, seed + np.arange(len(seed), dtype=np.uint64) % np.uint64(3)):
+        got = []
+        for wide, batch in ((10**9, 1), (4, 1), (4, 10**9)):
+            monkeypatch.setattr(substring_dedup, "WIDE", wide)
+            monkeypatch.setattr(substring_dedup, "BATCH", batch)
+            got.append(matches_in(substring_dedup.compare(seeds, doc, *rest)))
+        assert got[0] == got[1] == got[2] != []
+
+
+def matches_in(columns):
+    return sorted(zip(*(c.tolist() for c in columns), strict=True))
+
+
 def test_passages_leave_no_shuffle_files(spark):
     def shuffled():
         files = glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/**/shuffle_*.data", recursive=True)
