@@ -36,32 +36,88 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialize, table
 from .packing import encode, tokenizer_files
-from .substring_dedup import split_words
 
 DIMENSIONS = ("source", "lang", "topic")
 DIMS, TOPICS, NAMED, EVEN = 1024, 8, {"source": 64, "lang": 16, "topic": 64}, 0.5
 
 
-class _Slots(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = slot = xxhash.xxh64_intdigest(word, 7)
-        return slot
-
-
-_SLOTS = _Slots()
+#: A document's counts: its slots that have any.
+COUNTS = np.dtype([("slot", "<u2"), ("n", "<u4")])
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def hashed_words(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 7) -> np.ndarray:
+    """XXH64 of the bytes from each start to its end, all at once; those of 32 bytes or more one by one."""
+    n, at = ends - starts, starts.astype(np.int64)
+    ahead = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data + bytes(8), dtype=np.uint8), 8)
+    h = n.astype(np.uint64) + np.uint64(seed) + _P5
+    some = np.flatnonzero((n >= 8) & (n < 32))
+    rest = np.where(n < 32, n, 0)
+    while len(some):
+        lane = ahead[at[some]].view("<u8")[:, 0]
+        h[some] = _rotated(h[some] ^ _rotated(lane * _P2, 31) * _P1, 27) * _P1 + _P4
+        at[some] += 8
+        rest[some] -= 8
+        some = some[rest[some] >= 8]
+    some = np.flatnonzero(rest >= 4)
+    lane = ahead[at[some]].view("<u4")[:, 0].astype(np.uint64)
+    h[some] = _rotated(h[some] ^ lane * _P1, 23) * _P2 + _P3
+    at[some] += 4
+    rest[some] -= 4
+    some = np.flatnonzero(rest)
+    while len(some):
+        h[some] = _rotated(h[some] ^ ahead[at[some], 0] * _P5, 11) * _P1
+        at[some] += 1
+        rest[some] -= 1
+        some = some[rest[some] > 0]
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(n >= 32).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]], seed)
+    return h
+
+
+def all_counts(texts: list[str | None], dims: int = DIMS) -> list[bytes]:
+    """COUNTS of each text: how often its words, as of split_words(), fall in each slot."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = b" " + b" ".join(parts).lower() + b" "
+    blank = _BLANK[np.frombuffer(data, dtype=np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    slots = (hashed_words(data, starts, ends) % np.uint64(dims)).astype(np.int64)
+    text = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts - 1, "right")
+    n = np.bincount(text * dims + slots, minlength=len(texts) * dims)
+    key = np.flatnonzero(n)
+    held = np.empty(len(key), dtype=COUNTS)
+    held["slot"], held["n"] = key % dims, n[key]
+    cuts = np.searchsorted(key, np.arange(len(texts) + 1) * dims).tolist()
+    return [held[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _pieces(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in turn, as many as have that many characters together, one at least."""
+    held, n = [], 0
+    for t in texts:
+        if held and n + len(t) > size:
+            yield held
+            held, n = [], 0
+        held.append(t)
+        n += len(t)
+    if held:
+        yield held
 
 
 def word_counts(text: str | None, dims: int = DIMS) -> np.ndarray:
     """How often the text's words fall in each slot."""
-    if len(_SLOTS) > 150_000:
-        _SLOTS.clear()
-    words = split_words(text)
-    slots = np.fromiter(map(_SLOTS.__getitem__, words), dtype=np.uint64, count=len(words)) % np.uint64(dims)
-    return np.bincount(slots.astype(np.int64), minlength=dims).astype(np.float32)
-
-
-#: A document's counts: its slots that have any.
-COUNTS = np.dtype([("slot", "<u2"), ("n", "<u4")])
+    counts, out = np.frombuffer(all_counts([text], dims)[0], dtype=COUNTS), np.zeros(dims, dtype=np.float32)
+    out[counts["slot"]] = counts["n"]
+    return out
 
 
 def sparse(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,13 +199,7 @@ def counted(docs: DataFrame, row: Column, seed: int, dims: int = DIMS) -> DataFr
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 texts = [x or "" for x in part.column("text").to_pylist()]
-                held = []
-                for t in texts:
-                    n = word_counts(t, dims)
-                    at = np.flatnonzero(n)
-                    one = np.empty(len(at), dtype=COUNTS)
-                    one["slot"], one["n"] = at, n[at]
-                    held.append(one.tobytes())
+                held = [c for piece in _pieces(texts) for c in all_counts(piece, dims)]
                 tokens = [max(1, len(e)) for e in encode(texts, vocabulary, ranks)]
                 own = [part.column(c) for c in ("row", "source", "lang", "u")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(held, pa.binary()), part.column("bytes"), pa.array(tokens, pa.int64())], ["row", "source", "lang", "u", "counts", "bytes", "tokens"])

@@ -740,6 +740,21 @@ def test_model_and_tokens_are_of_all_rows(spark):
     assert got[9000].tokens == 1 and got[9000].topic == got[9001].topic == "none"
 
 
+def test_words_are_hashed_at_once(monkeypatch):
+    """The slots of XXH64, which is called for words of 32 bytes or more only."""
+    r = random.Random(5)
+    texts = [" ".join("q" * k for k in range(40)), None, "", " \t", "\x0b a\x0cB\x1cC\x85 \u00c9 \u2167", "\ud800 a"]
+    texts += ["".join(r.choice("aZ \n\t\x0b\x1c\x00\u00e9\u4f60\U0001f600") for _ in range(r.randrange(400))) for _ in range(40)]
+    words = [substring_dedup.split_words(t) for t in texts]
+    want = [np.bincount([mixing.xxhash.xxh64_intdigest(w, 7) % mixing.DIMS for w in ws] or [0], minlength=mixing.DIMS) * bool(ws) for ws in words]
+    seen, digest = [], mixing.xxhash.xxh64_intdigest
+    monkeypatch.setattr(mixing.xxhash, "xxh64_intdigest", lambda data, seed=0: seen.append(len(data)) or digest(data, seed))
+    assert all((mixing.word_counts(t) == w).all() for t, w in zip(texts, want, strict=True))
+    assert seen == [n for ws in words for n in map(len, ws) if n >= 32]
+    together = [np.frombuffer(c, dtype=mixing.COUNTS) for c in mixing.all_counts(texts)]
+    assert all(dict(zip(c["slot"].tolist(), c["n"].tolist(), strict=True)) == {int(x): int(w[x]) for x in np.flatnonzero(w)} for c, w in zip(together, want, strict=True))
+
+
 def test_counts_are_read_in_place():
     rng = np.random.default_rng(4)
     rows = [np.array([(x, rng.integers(1, 9)) for x in np.flatnonzero(rng.random(64) < 0.2)], dtype=mixing.COUNTS) for _ in range(40)]
