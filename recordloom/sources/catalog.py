@@ -43,7 +43,7 @@ def volumes(files: DataFrame, prefix: Column | None = None) -> DataFrame:
     each = W.partitionBy("dictionary")
     out = files.withColumn("volume_number", F.row_number().over(each.orderBy("relative_path")).cast("bigint")).withColumn("volume_total", F.count(F.lit(1)).over(each))
     series = F.create_map(*[F.lit(x) for pair in FILE_PREFIXES.items() for x in pair])[F.col("dictionary")]
-    name = F.concat(F.coalesce(series, "dictionary") if prefix is None else prefix, F.lit("-"), F.lpad(F.col("volume_number").cast("string"), 3, "0"), F.lit("-of-"), F.lpad(F.col("volume_total").cast("string"), 3, "0"), F.lit(".epub"))
+    name = F.concat(F.coalesce(series, "dictionary") if prefix is None else prefix, F.lit("-"), F.format_string("%03d", "volume_number"), F.lit("-of-"), F.format_string("%03d", "volume_total"), F.lit(".epub"))
     return out.withColumn("output_filename", name)
 
 
