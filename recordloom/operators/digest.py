@@ -57,9 +57,10 @@ def canonical_digest_collected(records: DataFrame, preamble: str = DIGEST_PREAMB
     return records.groupBy("relative_path").agg(F.sha2(F.unhex(F.concat(F.lit(start), parts)), 256).alias("record_sha256"))
 
 
-def canonical_digest(records: DataFrame, preamble: str = DIGEST_PREAMBLE) -> DataFrame:
-    """relative_path, record_sha256 for files of any size: sorted records run through one hash state."""
-    rows = records.select("relative_path", "record_ordinal", F.unhex(token_hex()).alias("t")).repartition("relative_path").sortWithinPartitions("relative_path", "record_ordinal")
+def canonical_digest(records: DataFrame, preamble: str = DIGEST_PREAMBLE, parts: int | None = None) -> DataFrame:
+    """relative_path, record_sha256 for files of any size: sorted records run through one hash state. parts: tasks to share the files."""
+    by = ["relative_path"] if parts is None else [parts, "relative_path"]
+    rows = records.select("relative_path", "record_ordinal", F.unhex(token_hex()).alias("t")).repartition(*by).sortWithinPartitions("relative_path", "record_ordinal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None

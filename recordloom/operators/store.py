@@ -15,19 +15,27 @@ from recordloom.functions.columns import DICTIONARIES, ENTITY_KINDS, ENTRY_ELEME
 from recordloom.operators.digest import canonical_digest, schema_fingerprint
 from recordloom.operators.entities import entries, identified, with_entries
 from recordloom.operators.migrations import APPLICATION
+from recordloom.session import cut
 from recordloom.sources.xml_records import RECORD, scan
 
 VERSION = 1
 COMMIT = re.compile("[0-9a-f]{40}")
 #: Files that an error names at most.
 SHOWN = 20
+#: Bytes of files, and rows of a store's table, that a task takes, about. Shuffles get a number of parts by these: adaptive
+#: execution would join parts by their compressed bytes, and records in memory are some hundred times as large.
+TASK_BYTES, TASK_ROWS = 1 << 21, 1 << 17
 RECORD_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RECORD)
 
-def foreign_key(name: str, child: DataFrame, parent: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """constraint, violations: rows of child without a parent; a null key is exempt."""
+def foreign_key(name: str, child: DataFrame, parent: DataFrame, pairs: list[tuple[str, str]], parts: int | None = None) -> DataFrame:
+    """constraint, violations: rows of child without a parent; a null key is exempt. parts: tasks to share the keys."""
+    names = [a for a, _ in pairs]
     keys = parent.select(*[F.col(b).alias(a) for a, b in pairs])
-    present = functools.reduce(lambda x, y: x & y, [F.col(a).isNotNull() for a, _ in pairs])
-    return child.where(present).join(keys, [a for a, _ in pairs], "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("constraint"), "violations")
+    present = functools.reduce(lambda x, y: x & y, [F.col(a).isNotNull() for a in names])
+    rows = child.where(present).select(*names)
+    if parts:
+        rows, keys = rows.repartition(parts, *names), keys.repartition(parts, *names)
+    return rows.join(keys, names, "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("constraint"), "violations")
 
 
 def check_rules(table: str, rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -151,23 +159,24 @@ FOREIGN = {
 }
 
 
-def duplicates(name: str, rows: DataFrame, key: list[str]) -> DataFrame:
-    """constraint, violations: keys (without nulls) that more than one row has."""
+def duplicates(name: str, rows: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
+    """constraint, violations: keys (without nulls) that more than one row has. parts: tasks to share the keys."""
     whole = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-    more = rows.where(whole).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keys = rows.where(whole).select(*key)
+    more = (keys.repartition(parts, *key) if parts else keys).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return more.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("constraint"), "violations")
 
 
-def shape_faults(records: DataFrame) -> DataFrame:
+def shape_faults(records: DataFrame, found: DataFrame) -> DataFrame:
     """relative_path, fault of files whose records no import takes: malformed, an entry in an entry, an empty entry,
-    an entry without a key or a headword, a key that two entries of a file have. A file may have several rows."""
+    an entry without a key or a headword, a key that two entries of a file have. A file may have several rows. found: the
+    records' entries()."""
     mine = functools.reduce(lambda out, d: out.when(F.col("d") == d, ENTRY_ELEMENTS[d]), ENTRY_ELEMENTS, F.when(F.lit(False), ""))
     named = records.withColumn("d", F.substring_index("relative_path", "/", 1)).withColumn("mine", mine).withColumn("local", local_name("qname"))
     opens = F.col("kind").isin("start_element", "empty_element") & (F.col("local") == F.col("mine"))
     inside = F.exists("ancestors", lambda a: a["name"] == F.col("mine"))
     fault = F.when(F.col("kind") == "error", F.concat(F.lit("malformed: "), "text_value")).when(opens & inside, "an entry within an entry").when(opens & (F.col("kind") == "empty_element"), "an empty entry")
     shape = named.select("relative_path", fault.alias("fault")).where("fault IS NOT NULL")
-    found = entries(with_entries(records))
     bare = found.where("native_key IS NULL OR headword IS NULL").select("relative_path", F.lit("an entry has no key or no headword").alias("fault"))
     twice = found.where("native_key IS NOT NULL").groupBy("relative_path", "native_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("relative_path", F.lit("two entries have one key").alias("fault"))
     return union_all([shape, bare, twice])
@@ -297,24 +306,25 @@ class Store:
         if todo.isEmpty():
             return done
         batch = uuid.uuid4().hex
-        records = self._write(batch, "source_record", scan(todo, strict=False, whole=False))
-        faults = shape_faults(records).groupBy("relative_path").agg(F.min("fault").alias("fault"))
-        inner = with_entries(records)
-        found = entries(inner)
+        parts = (todo.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // TASK_BYTES + 1
+        dealt = todo.repartition(parts)
+        records = self._write(batch, "source_record", scan(dealt, strict=False, whole=False))
+        found = cut(entries(with_entries(records)), "entries")
+        faults = shape_faults(records, found).groupBy("relative_path").agg(F.min("fault").alias("fault"))
         attributes = records.select("relative_path", "record_ordinal", F.posexplode("attributes").alias("attribute_ordinal", "a")).select("relative_path", "record_ordinal", "attribute_ordinal", "a.name", "a.value")
         attributes = self._write(batch, "source_attribute", attributes)
         none = self.spark.createDataFrame([], "relative_path string, entry_at bigint, dictionary string, entity_at bigint, entity_kind string, native_key string, pos int, pattern int, sense int")
         self._write(batch, "entity", identified(found, none, self.commit))
         projection = self._write(batch, "entry_projection", found)
         # what was written is read back and must have the digest of the source
-        again = scan(todo, strict=False, whole=False).where("kind <> 'error'")
-        source = canonical_digest(again).withColumnRenamed("record_sha256", "of_source")
-        facts = rebuilt(records.where("kind <> 'error'"), attributes).join(source, "relative_path", "left").join(sums, "relative_path")
+        again = scan(dealt, strict=False, whole=False).where("kind <> 'error'")
+        source = canonical_digest(again, parts=parts).withColumnRenamed("record_sha256", "of_source")
+        facts = rebuilt(records.where("kind <> 'error'"), attributes, parts).join(source, "relative_path", "left").join(sums, "relative_path")
         facts = facts.join(records.groupBy("relative_path").agg(F.count(F.lit(1)).alias("records")), "relative_path")
         facts = facts.join(projection.groupBy("relative_path").agg(F.count(F.lit(1)).alias("entries")), "relative_path", "left")
         good = facts.where("record_sha256 = of_source").join(faults, "relative_path", "left_anti")
         row = good.withColumn("dictionary", F.substring_index("relative_path", "/", 1)).withColumn("entries", F.coalesce("entries", F.lit(0)))
-        stored = self._write(batch, "source_file", row.coalesce(1))
+        stored = self._write(batch, "source_file", row.repartition(1))  # coalesce() would have one task do all of the above
         # the batch's own folder: Spark takes two listings of one folder in a plan for the same, todo's older one too
         left = pending(todo, stored, "relative_path").select("relative_path").join(faults, "relative_path", "left").orderBy("relative_path")
         named = [f"{r.relative_path}: {r.fault or 'the stored records differ from the source'}" for r in left.limit(SHOWN).collect()]
@@ -327,8 +337,10 @@ class Store:
         pending, that nobody expects, or whose bytes differ."""
         tables = {name: self.table(name) for name in TABLES}
         out = [check_rules(t, tables[t], {n: F.expr(x) for n, x in rules.items()}).select(F.concat_ws(".", "table_name", "rule").alias("constraint"), "violations") for t, rules in RULES.items()]
-        out += [duplicates(f"{t}.unique({','.join(key)})", tables[t], key) for t, keys in UNIQUE.items() for key in keys]
-        out += [foreign_key(n, tables[child], tables[parent], [(k, k) for k in key]) for n, (child, parent, key) in FOREIGN.items()]
+        parts = (self.completed().agg(F.sum("records")).first()[0] or 0) // TASK_ROWS + 1
+        out += [duplicates(f"{t}.unique({','.join(key)})", tables[t], key, parts) for t, keys in UNIQUE.items() for key in keys]
+        # source_file is small: its joins need no parts
+        out += [foreign_key(n, tables[child], tables[parent], [(k, k) for k in key], None if parent == "source_file" else parts) for n, (child, parent, key) in FOREIGN.items()]
         entries_ = tables["entry_projection"].groupBy("relative_path").agg(F.count(F.lit(1)).alias("found"))
         counted = tables["source_record"].groupBy("relative_path").agg(F.count(F.lit(1)).alias("held"))
         sums = tables["source_file"].join(entries_, "relative_path", "left").join(counted, "relative_path", "left")
@@ -383,8 +395,10 @@ class Store:
         return got
 
 
-def rebuilt(records: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Digest of stored records with their attributes joined back in order."""
+def rebuilt(records: DataFrame, attributes: DataFrame, parts: int) -> DataFrame:
+    """Digest of stored records with their attributes joined back in order, by so many tasks."""
+    at = ["relative_path", "record_ordinal"]
+    records, attributes = records.select(*at, "kind", "depth", "qname", "text_value").repartition(parts, *at), attributes.repartition(parts, *at)
     lists = attributes.groupBy("relative_path", "record_ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("attribute_ordinal", "name", "value"))), lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value"))).alias("joined"))
-    rows = records.join(lists, ["relative_path", "record_ordinal"], "left").withColumn("attributes", F.coalesce("joined", F.array().cast("array<struct<name:string,value:string>>")))
-    return canonical_digest(rows)
+    rows = records.join(lists, at, "left").withColumn("attributes", F.coalesce("joined", F.array().cast("array<struct<name:string,value:string>>")))
+    return canonical_digest(rows, parts=parts)
