@@ -68,26 +68,36 @@ def reference_checks(entities: DataFrame, prefix: Column) -> DataFrame:
 
 def owner_checks(entity: DataFrame, entry_projection: DataFrame, text_projection: DataFrame, relation: DataFrame, relation_candidate: DataFrame) -> DataFrame:
     """check_name, violations: projections, relations and candidates whose owners don't fit. entity: canonical_id,
-    corpus_id, entity_kind, parent_entry_id. The keys are ids, so no join key is hot but a relation's many candidates."""
+    corpus_id, entity_kind, parent_entry_id. The keys are ids, so no join key is hot but a relation's many candidates and the
+    missing target. Joins have parts by the rows, and relations without a target are spread over them."""
+    parts = (entity.count() + relation.count()) // (2 * TASK_ROWS) + 1
 
     def side(name: str) -> DataFrame:
         owner = F.when(F.col("entity_kind") == "entry", F.col("canonical_id")).otherwise(F.col("parent_entry_id"))
         return entity.select(F.col("canonical_id").alias(f"{name}_id"), F.struct("corpus_id", "entity_kind", owner.alias("owner")).alias(name))
 
+    def join(rows: DataFrame, name: str, key: str) -> DataFrame:
+        return rows.repartition(parts, key).join(side(name).repartition(parts, key), key)
+
+    def join_if_any(rows: DataFrame, name: str, key: str) -> DataFrame:
+        spot = F.when(F.col(key).isNull(), F.xxhash64("relation_id")).otherwise(F.xxhash64(key))
+        return rows.withColumn("spot", spot).repartition(parts, key, "spot").join(side(name).withColumn("spot", F.xxhash64(key)).repartition(parts, key, "spot"), [key, "spot"], "left").drop("spot")
+
     def count(rows: DataFrame, wrong: Column, name: str) -> DataFrame:
         return rows.agg(F.count_if(wrong).cast("bigint").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
 
     c = F.col
-    entries_ = entry_projection.select("entry_id").join(side("entry"), "entry_id")
-    texts = text_projection.select("entry_id", c("entity_id").alias("owner_id")).join(side("entry"), "entry_id").join(side("owner"), "owner_id")
+    entries_ = join(entry_projection.select("entry_id"), "entry", "entry_id")
+    texts = join(join(text_projection.select("entry_id", c("entity_id").alias("owner_id")), "entry", "entry_id"), "owner", "owner_id")
     wrong_text = (c("entry.entity_kind") != "entry") | (c("owner.corpus_id") != c("entry.corpus_id")) | (c("entry_id") != c("owner.owner"))
     names = {"source_entity_id": "source_id", "source_entry_id": "source_entry_id", "resolved_target_id": "target_id", "resolved_target_entry_id": "target_entry_id"}
-    links = relation.select("relation_id", *[c(a).alias(b) for a, b in names.items()]).join(side("source"), "source_id").join(side("source_entry"), "source_entry_id")
-    links = links.join(side("target"), "target_id", "left").join(side("target_entry"), "target_entry_id", "left")
+    links = join(join(relation.select("relation_id", *[c(a).alias(b) for a, b in names.items()]), "source", "source_id"), "source_entry", "source_entry_id")
+    links = join_if_any(join_if_any(links, "target", "target_id"), "target_entry", "target_entry_id")
     wrong_target = (c("target_entry.entity_kind") != "entry") | (c("target.corpus_id") != c("source.corpus_id")) | (c("target_entry.corpus_id") != c("source.corpus_id")) | (c("target_entry_id") != c("target.owner"))
     wrong_link = (c("source_entry.entity_kind") != "entry") | (c("source_entry.corpus_id") != c("source.corpus_id")) | (c("source_entry_id") != c("source.owner")) | (c("target_id").isNotNull() & wrong_target)
-    pairs = relation_candidate.select("relation_id", c("candidate_target_id").alias("target_id")).join(relation.select("relation_id", c("source_entity_id").alias("source_id")), "relation_id")
-    pairs = pairs.join(side("source"), "source_id").join(side("target"), "target_id")
+    sources = relation.select("relation_id", c("source_entity_id").alias("source_id")).repartition(parts, "relation_id")
+    pairs = relation_candidate.select("relation_id", c("candidate_target_id").alias("target_id")).repartition(parts, "relation_id").join(sources, "relation_id")
+    pairs = join(join(pairs, "source", "source_id"), "target", "target_id")
     return union_all([
         count(entries_, c("entry.entity_kind") != "entry", "entry_projection_owner"),
         count(texts, wrong_text, "text_projection_owner"),
